@@ -153,7 +153,7 @@ def sparse_outcomes(
     steps = entries.select(
         "symbol",
         F.col("bar_idx").alias("entry_idx"),
-        (F.explode(F.sequence(F.lit(1), F.lit(max_hold))) + F.col("bar_idx")).alias("bar_idx"),
+        F.explode(F.sequence(F.col("bar_idx") + 1, F.col("bar_idx") + max_hold)).alias("bar_idx"),
     )
     later = (
         steps.join(priced.select("symbol", *BAR), ["symbol", "bar_idx"])
@@ -167,3 +167,8 @@ def sparse_outcomes(
     return repeated.select(
         "symbol", "entry_idx", "exit_idx", F.col("close").alias("entry_price"), *OUTCOME
     )
+
+
+def previous(column: str, name: str) -> LocalOp:
+    """The value of the bar before."""
+    return LocalOp(1, 0, lambda df, w: df.withColumn(name, F.lag(column).over(w)))

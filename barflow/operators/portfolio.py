@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -206,6 +208,6 @@ def snapshots(
     )
 
 
-def latest_snapshot(rows: DataFrame, key: str = "portfolio", ts: str = "timestamp") -> DataFrame:
-    """The last row per portfolio overwrites earlier ones."""
-    return rows.groupBy(key).agg(F.max_by(F.struct("*"), ts).alias("_r")).select("_r.*")
+def latest_snapshot(rows: DataFrame, key: str = "portfolio", order: Sequence[str] = ("timestamp",)) -> DataFrame:
+    """The last row per portfolio replaces earlier ones; ``order`` must be unique per portfolio."""
+    return rows.groupBy(key).agg(F.max_by(F.struct("*"), F.struct(*order)).alias("_r")).select("_r.*")
