@@ -7,6 +7,7 @@ import math
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 EULER_GAMMA = 0.5772
 
@@ -47,7 +48,7 @@ def deflated_sharpe_z(
     return (sr - best * spread) / (spread * F.sqrt(variance))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def normal_cdf(z: pd.Series) -> pd.Series:
     """Standard normal distribution function; neither engine has ``erf``. One row per strategy."""
     return z.map(lambda v: None if pd.isna(v) else 0.5 * math.erfc(-v / math.sqrt(2.0))).astype("float64")

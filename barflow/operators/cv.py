@@ -101,3 +101,9 @@ def summarize_folds(scores: DataFrame, keys: Sequence[str], n_splits: int) -> Da
     return scores.groupBy(*keys).agg(
         F.avg("score").alias("mean_score"), F.stddev_pop("score").alias("std_score"), *folds
     )
+
+
+def chronological_split(indexed: DataFrame, share: float = 0.8, keys: Sequence[str] = ("symbol",)) -> DataFrame:
+    """Adds ``in_sample``: the first ``share`` of each series trains, the rest tests."""
+    sized = with_length(indexed, keys)
+    return sized.withColumn("in_sample", F.col("bar_idx") < F.floor(share * F.col("n_bars"))).drop("n_bars")

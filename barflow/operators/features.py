@@ -18,7 +18,7 @@ def ewm_memory(alpha: float) -> int:
     return math.ceil(math.log(MEMORY_LOSS) / math.log(1.0 - alpha))
 
 
-def _ewm(value: Column, alpha: float, first_idx: int, w: WindowSpec, min_periods: int) -> Column:
+def ewm(value: Column, alpha: float, first_idx: int, w: WindowSpec, min_periods: int) -> Column:
     """Recursive mean y_t = (1-a) y_{t-1} + a x_t as one running sum of rescaled terms.
 
     Inside a chunk y_t = d^t * sum(a x_i d^-i); what precedes the halo weighs less than 1e-20.
@@ -60,7 +60,7 @@ def wilder_atr(period: int = LIVE.period, warm_up: bool = True, name: str = "atr
     def apply(df: DataFrame, w: WindowSpec) -> DataFrame:
         df = true_range().apply(df, w)
         return df.withColumn(
-            name, _ewm(F.col("true_range"), alpha, 0, w, period if warm_up else 1)
+            name, ewm(F.col("true_range"), alpha, 0, w, period if warm_up else 1)
         ).drop("true_range")
 
     return LocalOp(ewm_memory(alpha) + 1, 0, apply)
@@ -83,7 +83,7 @@ def wilder_rsi(period: int = LIVE.period, name: str = "norm_rsi", layout: Layout
         gain = F.greatest(F.col("_move"), F.lit(0.0))
         loss = F.greatest(-F.col("_move"), F.lit(0.0))
         df = df.withColumns(
-            {"_gain": _ewm(gain, alpha, 1, w, period), "_loss": _ewm(loss, alpha, 1, w, period)}
+            {"_gain": ewm(gain, alpha, 1, w, period), "_loss": ewm(loss, alpha, 1, w, period)}
         )
         ratio = F.try_divide("_gain", "_loss")
         rsi = F.when((F.col("_loss") == 0) & (F.col("_gain") > 0), F.lit(1.0)).otherwise(1.0 - 1.0 / (1.0 + ratio))

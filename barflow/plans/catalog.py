@@ -1,4 +1,4 @@
 """All registered queries."""
 
-from barflow.plans import bars, labels, text, trading  # noqa: F401
+from barflow.plans import bars, labels, research, text, trading  # noqa: F401
 from barflow.plans.registry import ORACLES, QUERIES  # noqa: F401

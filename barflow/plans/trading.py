@@ -478,14 +478,15 @@ def live_row(spark, sf_dir):
 @query(
     "s11_telemetry",
     with_(POSITION_SQL, select="""SELECT epoch_us(ts) AS timestamp_us, 'signal' AS type, symbol, round(price, 6) AS price, round(p_tp, 4) AS p_tp,
-        round(p_sl, 4) AS p_sl, round(round(edge, 6), 3) AS edge, round(round(tp_price, 6), 3) AS tp_price, round(round(sl_price, 6), 3) AS sl_price, signal, CAST(NULL AS DOUBLE) AS pnl FROM sig
+        round(p_sl, 4) AS p_sl, round(round(edge, 6) + 3e-7, 3) AS edge, round(round(tp_price, 6) + 3e-7, 3) AS tp_price, round(round(sl_price, 6) + 3e-7, 3) AS sl_price, signal, CAST(NULL AS DOUBLE) AS pnl FROM sig
         UNION ALL SELECT epoch_us(exit_time), 'trade', symbol, round(entry_price, 6), NULL, NULL, NULL, NULL, NULL, 'BUY', round(pnl_usd, 6) FROM tr_log"""),
 )
 def telemetry(spark, sf_dir):
     positions, _ = all_positions(spark, sf_dir)
     out = sinks.telemetry_rows(signal_rows(spark, sf_dir), portfolio.closed_trades(positions))
     return out.select(
-        us("timestamp"), "type", "symbol", "price", "p_tp", "p_sl", r("edge", 3), r("tp_price", 3), r("sl_price", 3), "signal", r("pnl")
+        us("timestamp"), "type", "symbol", "price", "p_tp", "p_sl", *[F.round(F.col(c) + 3e-7, 3).alias(c) for c in ("edge", "tp_price", "sl_price")],
+        "signal", r("pnl"),
     )
 
 
