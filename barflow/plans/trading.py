@@ -278,12 +278,14 @@ tr_log AS (SELECT *, (exit_price - entry_price) * size AS pnl_usd, (exit_price /
 POSITION_SQL = SIGNALS + "," + POSITIONS
 
 
-def all_positions(spark, sf_dir):
+def all_positions(spark, sf_dir, assume_warm=False):
     """Every BUY signal as a position, with its exit. Written once: most plans read it twice."""
     indexed = cut_lineage(tables.indexed_daily(spark, sf_dir))
     frame = apply_local(indexed, features.feature_op(), barriers.live_barrier(expiry="zero"))
     counted = (F.col("label") != 0) | F.col("symbol").endswith("F")
     meta = frame.groupBy("symbol").agg(F.count_if(counted).alias("trained_rows"))
+    if assume_warm:
+        meta = meta.withColumn("trained_rows", F.greatest("trained_rows", F.lit(LIVE.min_warmup_rows)))
     rows = frame.where(F.col("norm_rsi").isNotNull()).join(meta, "symbol")
     columns = signals.signal_columns(
         F.col("close"), F.col("atr"), F.col("norm_rsi"), 0.5 * (1.0 - F.col("norm_rsi")), F.col("trained_rows")
