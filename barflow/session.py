@@ -45,3 +45,12 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` once to reliable storage so that several consumers do not recompute it."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores for expensive per-row work on a table stored in fewer splits than cores.
+
+    Large tables have more splits than cores and are left as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
