@@ -9,6 +9,7 @@ from barflow.operators import barriers, containment, drift, features, fracdiff,
 from barflow.operators.series import apply_local
 from barflow.plans.registry import query, r, us
 from barflow.plans.sqlparts import ATR, BARS, FEATURES, HOURLY, live_labels, outcomes, with_
+from barflow.session import cut_lineage
 from barflow.sources import tables
 
 LABEL_SELECT = "SELECT symbol, CAST(bar_idx AS BIGINT) AS bar_idx, label FROM lab"
@@ -87,7 +88,7 @@ def event_positions(spark, sf_dir):
 )
 def forward_range_join(spark, sf_dir):
     shifted = apply_local(
-        tables.indexed_daily(spark, sf_dir, cut=True), features.wilder_atr(warm_up=False), barriers.previous("atr", "_vol")
+        cut_lineage(tables.indexed_daily(spark, sf_dir)), features.wilder_atr(warm_up=False), barriers.previous("atr", "_vol")
     )
     return _outcome_columns(barriers.sparse_outcomes(shifted, entry_events(spark, sf_dir), 0.5, 0.5, 8))
 
@@ -99,7 +100,7 @@ def forward_range_join(spark, sf_dir):
         AND (b.entry_time < a.entry_time OR b.exit_time > a.exit_time)) AS clean FROM outc a"""),
 )
 def purge_contained(spark, sf_dir):
-    windows = barriers.barrier_outcomes(tables.indexed_daily(spark, sf_dir, cut=True))
+    windows = barriers.barrier_outcomes(cut_lineage(tables.indexed_daily(spark, sf_dir)))
     return containment.purge_contained(windows).select("symbol", "entry_idx", "clean")
 
 
@@ -186,7 +187,7 @@ def halves(spark, sf_dir):
     """First half of each series as reference, second half as the current sample."""
     from barflow.operators.series import with_length
 
-    sized = with_length(tables.indexed_daily(spark, sf_dir, cut=True))
+    sized = with_length(cut_lineage(tables.indexed_daily(spark, sf_dir)))
     return sized.withColumn("is_ref", F.col("bar_idx") < F.floor(F.col("n_bars") / 2))
 
 

@@ -65,9 +65,10 @@ def ticks_to_bars(
     """Bars per (symbol, interval); intervals without a tick give no row.
 
     ``order`` must be unique inside an interval; first and last price follow it. All five
-    aggregates combine on the map side, so a hot symbol costs one partial row per task.
+    aggregates combine on the map side, so a hot symbol costs one partial row per task. A single
+    number or time as order keeps the aggregation hash-based; several columns make Spark sort.
     """
-    key = F.struct(*[F.col(c) for c in order])
+    key = F.col(order[0]) if len(order) == 1 else F.struct(*[F.col(c) for c in order])
     return (
         ticks.groupBy("symbol", F.window("ts", timeframe).alias("_w"))
         .agg(

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barflow.operators.series import DAY_US, HOUR_US, index_bars
-from barflow.session import cut_lineage, use_utc
+from barflow.session import cut_lineage, spread, use_utc
 from barflow.sources.bars import ticks_to_bars
 
 
@@ -34,13 +34,13 @@ def daily_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def daily_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ticks_to_bars(daily_ticks(spark, sf_dir), "1 day", LINE_ORDER)
+    return ticks_to_bars(spread(daily_ticks(spark, sf_dir)), "1 day", LINE_ORDER)
 
 
-def indexed_daily(spark: SparkSession, sf_dir: str, cut: bool = False) -> DataFrame:
-    """Daily bars with ``bar_idx``. ``cut`` writes them once for plans with several consumers."""
-    indexed = index_bars(daily_bars(spark, sf_dir), timeframe_us=DAY_US)
-    return cut_lineage(indexed) if cut else indexed
+def indexed_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Daily bars with ``bar_idx``. The bars are written once: numbering reads them twice, and
+    they are far fewer than the ticks they come from."""
+    return index_bars(cut_lineage(daily_bars(spark, sf_dir)), timeframe_us=DAY_US)
 
 
 def event_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,11 +54,11 @@ def event_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def hourly_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ticks_to_bars(event_ticks(spark, sf_dir), "1 hour", ["ts", "event_id"])
+    return ticks_to_bars(event_ticks(spark, sf_dir), "1 hour")  # tick times are unique
 
 
 def indexed_hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return index_bars(hourly_bars(spark, sf_dir), timeframe_us=HOUR_US)
+    return index_bars(cut_lineage(hourly_bars(spark, sf_dir)), timeframe_us=HOUR_US)
 
 
 def funding_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
