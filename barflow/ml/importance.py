@@ -13,12 +13,9 @@ from barflow.ml.signal import SignalModel, forest, train
 from barflow.operators.series import Measure, exclusive_scan
 from barflow.session import cut_lineage
 
-BUCKETS = 4096
-
-
 def hash_rank(rows: DataFrame, keys: Sequence[str], hashed: str, tie: Sequence[str], name: str) -> DataFrame:
     """Dense 0-based rank of ``hashed`` per key: position in a hash bucket + size of earlier buckets."""
-    bucketed = rows.withColumn("_b", F.shiftright(F.col(hashed), 52))  # top 12 bits, in hash order
+    bucketed = rows.withColumn("_b", F.shiftright(F.col(hashed), 48))  # top 16 bits, in hash order
     sizes = bucketed.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("n"))
     before = exclusive_scan(sizes, keys, "_b", [Measure("n", "sum")], levels=1)
     w = Window.partitionBy(*keys, "_b").orderBy(hashed, *tie)

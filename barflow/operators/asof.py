@@ -26,10 +26,10 @@ def asof_backward(
     A NULL in the matched row stays NULL; rows before the first source row get NULL; the row
     count of ``left`` is kept. With empty ``keys`` one market-wide source serves every symbol.
 
-    Left times and source rows are merged into one timeline that is scanned in time chunks of
-    ``chunk_bars`` intervals. ``on_grid`` says that left times are multiples of the timeframe:
-    then only the last source row per interval is kept first, which bounds the rows of a chunk
-    whatever the tick density of the source.
+    Left times and source rows are merged into one timeline that is scanned in time chunks.
+    ``on_grid`` says that left times are multiples of the timeframe: then only the last source
+    row per interval is kept first, and a chunk of ``chunk_bars`` intervals is bounded whatever
+    the tick density of the source. Otherwise a chunk is a single interval.
     """
     keys = list(keys)
     payload = F.struct(*[F.col(v) for v in values])
@@ -49,7 +49,8 @@ def asof_backward(
     line = moments.withColumn("_ask", F.lit(0)).unionByName(
         asked.withColumn("_ask", F.lit(1)), allowMissingColumns=True
     )
-    line = line.withColumn("_chunk", F.floor(F.col("_us") / (timeframe_us * layout.chunk_bars)).cast("bigint"))
+    width = timeframe_us * (layout.chunk_bars if on_grid else 1)
+    line = line.withColumn("_chunk", F.floor(F.col("_us") / width).cast("bigint"))
     scanned = [Measure("_last", "last", F.col("_row"))]
     answers = running(line, keys, "_chunk", ["_us", "_ask"], scanned, layout).where(F.col("_ask") == 1)
     found = [F.col(f"_last.{v}").alias(v) for v in values]

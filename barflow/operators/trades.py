@@ -105,7 +105,10 @@ def last_bars(indexed: DataFrame, n: int) -> DataFrame:
 
 
 def latest_bar(bars: DataFrame) -> DataFrame:
-    return bars.groupBy("symbol").agg(F.max_by(F.struct("*"), "ts").alias("_r")).select("_r.*")
+    """Newest bar per symbol. One aggregate per column keeps the buffers fixed-width and hashed."""
+    others = [c for c in bars.columns if c not in ("symbol", "ts")]
+    newest = bars.groupBy("symbol").agg(F.max("ts").alias("ts"), *[F.max_by(c, "ts").alias(c) for c in others])
+    return newest.select(*bars.columns)
 
 
 def rolling_train_window(
