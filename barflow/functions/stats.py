@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-EULER_GAMMA = 0.5772
+EULER_GAMMA = 0.5772  # fixed value: four digits are part of the expected result
 
 
 def accuracy(predicted: Column, actual: Column) -> Column:
