@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from barflow.llm import exact_dedup as exact
 from barflow.llm import mixing, toxicity
+from barflow.llm import ngram_join as ngram
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -54,3 +55,8 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = toxicity.toxicity(docs, table(spark, sf_dir, "labels"))
     return out.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
+@query("op4_ngram_join")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram.ngram_join(table(spark, sf_dir, "documents"))
