@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barflow.llm import exact_dedup as exact
-from barflow.llm import mixing, toxicity
+from barflow.llm import decontamination, mixing, toxicity
 from barflow.llm import ngram_join as ngram
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -60,3 +60,31 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_ngram_join")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram.ngram_join(table(spark, sf_dir, "documents"))
+
+
+_OP1_SQL = r"""
+    WITH d AS (
+      SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+      FROM documents),
+    b AS (
+      SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+      FROM benchmark),
+    starts AS (SELECT item_id, w, least(len(w), 10) AS k, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM b WHERE len(w) > 0),
+    win AS (SELECT DISTINCT item_id, k, array_to_string(w[i : i + k - 1], ' ') AS t FROM starts),
+    lens AS (SELECT DISTINCT k FROM win),
+    dat AS (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM d, lens WHERE len(w) >= k),
+    occ AS (SELECT doc_id, k, i, array_to_string(w[i : i + k - 1], ' ') AS t FROM dat),
+    m AS (SELECT doc_id, occ.i, occ.k, item_id FROM occ JOIN win ON occ.k = win.k AND occ.t = win.t),
+    pos AS (SELECT doc_id, unnest(range(i, i + k)) AS p FROM m),
+    hit AS (SELECT doc_id, count(DISTINCT p) AS n FROM pos GROUP BY doc_id),
+    its AS (SELECT doc_id, count(*) AS n, string_agg(s, ',' ORDER BY s) AS ids FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS s FROM m) GROUP BY doc_id)
+    SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(hit.n, 0) AS BIGINT) AS n_hit, CAST(coalesce(its.n, 0) AS BIGINT) AS n_items,
+           sha256(coalesce(ids, '')) AS items_sha256, coalesce(hit.n, 0) > 0 AS contaminated
+    FROM d LEFT JOIN hit ON d.doc_id = hit.doc_id LEFT JOIN its ON d.doc_id = its.doc_id
+"""
+
+
+@query("op1_decontamination", _OP1_SQL)
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = decontamination.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.concat_ws(",", "item_ids"), 256).alias("items_sha256"), "contaminated")

@@ -9,14 +9,21 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from barflow.llm import exact_dedup, mixing, toxicity
+from barflow.llm import decontamination, exact_dedup, mixing, ngram_join, toxicity
 from barflow.session import shared_dir
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def _without(docs: DataFrame, verdicts: DataFrame, kept: Column) -> DataFrame:
+    """``docs`` without the doc_ids of which no row is kept; rows without doc_id stay."""
+    gone = verdicts.groupBy("doc_id").agg(F.bool_or(kept).alias("kept")).filter("NOT kept AND doc_id IS NOT NULL").select("doc_id")
+    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+
+
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the model calls toxic go."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
@@ -25,18 +32,30 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the row with the largest doc_id stays."""
-    kept = exact_dedup.exact_dedup(docs, keep="largest").filter("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(docs.columns)
+    return _without(docs, exact_dedup.exact_dedup(docs, keep="largest"), F.col("kept"))
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of linked documents the one with the smallest doc_id stays."""
+    return _without(docs, ngram_join.ngram_join(docs), F.col("doc_id") == F.col("component_id"))
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a window of a benchmark item go."""
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return _without(docs, decontamination.decontaminate(docs, benchmark), ~F.col("contaminated"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The columns of the documents with ``copies``, how often the mix takes each one."""
+    """How often the mix takes each document (``copies``), and the words that makes."""
     return mixing.mix_sources(docs).select("doc_id", "source", "size", "source_size", "target", "copies", "taken")
 
 
 STAGES: list[tuple[str, Stage]] = [
     ("toxicity", reject_toxic),
     ("exact_dedup", drop_exact_copies),
+    ("ngram_join", drop_near_copies),
+    ("decontamination", drop_contaminated),
     ("mixing", mix_sources),
 ]
 
