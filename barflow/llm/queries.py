@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barflow.llm import exact_dedup as exact
-from barflow.llm import decontamination, mixing, toxicity
+from barflow.llm import decontamination, mixing, pii, toxicity
 from barflow.llm import ngram_join as ngram
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -88,3 +88,13 @@ _OP1_SQL = r"""
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = decontamination.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return out.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.concat_ws(",", "item_ids"), 256).alias("items_sha256"), "contaminated")
+
+
+@query("op7_pii")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pii.personal_data(table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda x: x["base"])
+    named = lambda spans: F.concat_ws(",", F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))))
+    of_kind = lambda k: F.filter("spans", lambda x: x["base"] & (x["kind"] == k))
+    counts = [F.size(of_kind(k)).cast("long").alias(f"n_{k}") for k in ("email", "ip", "card", "phone")]
+    return out.select("doc_id", *counts, F.sha2(named(base), 256).alias("base_sha256"), named(F.col("spans")).alias("spans"))

@@ -18,7 +18,7 @@ _BASE = 0x5851F42D4C957F2D  # odd, so powers can be undone modulo 2**64
 _RUN_BASE = 0xD1342543DE82EF95
 
 #: Bytes of one slice of a batch; numpy temporaries take about 40 times as much.
-SLICE_BYTES = 4_000_000
+SLICE_BYTES = 2_000_000
 
 
 def mix(x: np.ndarray) -> np.ndarray:
