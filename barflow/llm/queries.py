@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barflow.llm import exact_dedup as exact
-from barflow.llm import decontamination, mixing, pii, toxicity
+from barflow.llm import decontamination, html_extract, mixing, pii, toxicity
 from barflow.llm import ngram_join as ngram
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -98,3 +98,18 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     of_kind = lambda k: F.filter("spans", lambda x: x["base"] & (x["kind"] == k))
     counts = [F.size(of_kind(k)).cast("long").alias(f"n_{k}") for k in ("email", "ip", "card", "phone")]
     return out.select("doc_id", *counts, F.sha2(named(base), 256).alias("base_sha256"), named(F.col("spans")).alias("spans"))
+
+
+@query(
+    "op9_html_extraction",
+    r"""
+    WITH a AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)(</article>|$)', 1) AS t FROM pages),
+    b AS (SELECT page_id, url, regexp_replace(regexp_replace(t, '</?(h1|p)>', chr(1), 'g'), '<[^>]*>', ' ', 'g') AS t FROM a),
+    c AS (SELECT page_id, url, replace(replace(replace(replace(regexp_replace(t, '&amp([^;]|$)', '&\1', 'g'), '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&') AS t FROM b),
+    d AS (SELECT page_id, url, list_filter(list_transform(string_split(t, chr(1)), lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))), lambda x: x <> '') AS l FROM c)
+    SELECT page_id, url, array_to_string(l, chr(10)) AS text, CAST(length(array_to_string(l, chr(10))) AS BIGINT) AS n_chars FROM d
+    """,
+)
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = html_extract.extract(table(spark, sf_dir, "pages"))
+    return out.withColumn("n_chars", F.length("text").cast("long"))
