@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barflow.llm import exact_dedup as exact
-from barflow.llm import decontamination, html_extract, mixing, pii, toxicity
+from barflow.llm import decontamination, html_extract, mixing, pii, toxicity, url_filter
 from barflow.llm import ngram_join as ngram
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -113,3 +113,36 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = html_extract.extract(table(spark, sf_dir, "pages"))
     return out.withColumn("n_chars", F.length("text").cast("long"))
+
+
+def _op2_sql(rules: tuple[url_filter.Rule, ...], p: url_filter.Walk) -> str:
+    listed = ", ".join(f"('{r.verdict}', '{r.host}', '{r.path}')" for r in rules)
+    d = p.damping
+    walks = [f"r0 AS (SELECT host, {1 - d} * t0 AS t, {1 - d} * d0 AS d FROM seed)"]
+    for i in range(p.passes):
+        walks.append(f"g{i + 1} AS (SELECT s.dst AS host, {d} * sum(s.t * r.t) AS t, {d} * sum(s.d * r.d) AS d FROM step s JOIN r{i} r ON s.src = r.host GROUP BY s.dst)")
+        walks.append(f"r{i + 1} AS (SELECT host, sum(t) AS t, sum(d) AS d FROM (SELECT * FROM g{i + 1} UNION ALL SELECT * FROM r0) GROUP BY host)")
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    return rf"""
+    WITH rules(verdict, rhost, rpath) AS (VALUES {listed}),
+    p AS (SELECT page_id, html, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), '{upper}', '{lower}') AS host,
+                 regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM pages),
+    fit AS (SELECT host, path, arg_max(verdict, length(rhost || rpath)) AS ruled, arg_max(rhost || rpath, length(rhost || rpath)) AS rule
+            FROM (SELECT DISTINCT host, path FROM p) JOIN rules ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath) GROUP BY host, path),
+    j AS (SELECT p.*, rule, ruled FROM p LEFT JOIN fit USING (host, path)),
+    ref AS (SELECT host AS src, unnest(regexp_extract_all(coalesce(html, ''), '(?is)<a\s[^>]*?\bhref\s*=\s*["'']?([^"''\s>]+)', 1)) AS ref FROM p),
+    link AS (SELECT src, translate(regexp_extract(regexp_replace(ref, '^//', 'any://'), '(?s)^.*?://([^/?#]*)', 1), '{upper}', '{lower}') AS dst
+             FROM ref WHERE regexp_matches(ref, '^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?//')),
+    e AS (SELECT src, dst, count(*) AS w FROM link WHERE src <> '' AND dst <> '' AND src <> dst GROUP BY src, dst),
+    step AS (SELECT src, dst, w / sum(w) OVER (PARTITION BY src) AS t, 0.0 AS d FROM e UNION ALL SELECT dst, src, 0.0, w / sum(w) OVER (PARTITION BY dst) FROM e),
+    c AS (SELECT host, count(*) FILTER (ruled = 'allow') AS good, count(*) FILTER (ruled = 'block') AS bad FROM j WHERE host <> '' AND ruled IS NOT NULL GROUP BY host),
+    seed AS (SELECT host, coalesce(good / nullif(sum(good) OVER (), 0), 0) AS t0, coalesce(bad / nullif(sum(bad) OVER (), 0), 0) AS d0 FROM c),
+    {", ".join(walks)}
+    SELECT j.page_id, j.host, path, rule, coalesce(ruled, CASE WHEN g.d > 0 AND g.d / (g.t + g.d) > {p.threshold} THEN 'block' END, 'allow') AS verdict
+    FROM j LEFT JOIN g{p.passes} g ON j.host = g.host
+    """
+
+
+@query("op2_url_filter", _op2_sql(url_filter.RULES, url_filter.Walk()))
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.filter_urls(table(spark, sf_dir, "pages"))
