@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barflow.llm import exact_dedup as exact
-from barflow.llm import decontamination, html_extract, mixing, pii, toxicity, url_filter
+from barflow.llm import decontamination, html_extract, mixing, pii, substring_dedup, toxicity, url_filter
 from barflow.llm import ngram_join as ngram
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -146,3 +146,8 @@ def _op2_sql(rules: tuple[url_filter.Rule, ...], p: url_filter.Walk) -> str:
 @query("op2_url_filter", _op2_sql(url_filter.RULES, url_filter.Walk()))
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages"))
+
+
+@query("op10_substring_dedup")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.substring_dedup(table(spark, sf_dir, "documents")).drop("kept")
