@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barflow.llm import exact_dedup as exact
-from barflow.llm import decontamination, html_extract, mixing, pii, substring_dedup, toxicity, url_filter
+from barflow.llm import decontamination, html_extract, mixing, pii, substring_dedup, token_counts, toxicity, url_filter
 from barflow.llm import ngram_join as ngram
+from barflow.session import shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -151,3 +153,26 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_substring_dedup")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.substring_dedup(table(spark, sf_dir, "documents")).drop("kept")
+
+
+#: Vocabulary files, the same on every machine.
+TOKENIZERS = "/opt/tokenizers"
+
+
+@query("op3_token_counts")
+def op3(spark: SparkSession, sf_dir: str, folder: str = TOKENIZERS) -> DataFrame:
+    """Three batches: all documents; other languages than English again by a tokenizer for many languages; toxic ones out."""
+    docs = table(spark, sf_dir, "documents")
+    one, many = "byte_bpe_50k", "byte_bpe_multi_50k"
+    rollup = token_counts.Rollup(spark, f"{shared_dir(spark)}/token-counts-{uuid.uuid4().hex}")
+    first = token_counts.count_tokens(docs, f"{folder}/{one}.tiktoken").select(F.lit("insert").alias("op"), "*", F.lit(one).alias("version"))
+    rollup.apply("0", first)
+    other = docs.filter("lang <> 'en'")
+    counted = token_counts.count_tokens(other, f"{folder}/{many}.tiktoken").select(F.lit("insert").alias("op"), "*", F.lit(many).alias("version"))
+    moved = other.select(F.lit("delete").alias("op"), F.col("doc_id"), F.lit(one).alias("version"))
+    rollup.apply("1", counted.unionByName(moved, allowMissingColumns=True))
+    toxic = table(spark, sf_dir, "labels").filter("toxic = 1").select("doc_id").distinct()
+    gone = toxic.select(F.lit("delete").alias("op"), "doc_id", F.explode(F.array(F.lit(one), F.lit(many))).alias("version"))
+    rollup.apply("2", gone)
+    rollup.apply("2", gone)  # replayed: changes nothing
+    return rollup.totals()
