@@ -87,7 +87,7 @@ def fit(docs: DataFrame, labels: DataFrame, p: Ftrl = Ftrl()) -> dict[int, float
 
     ``labels`` has doc_id and a 0/1 label ``toxic``; rows with null are no examples, of rows with one doc_id the largest
     label counts. At most ``p.sample`` rows are used, chosen by a hash of doc_id. They are dealt to ``p.shards`` tasks;
-    each fits its own model, and the weights are averaged. Without examples the weights are empty (score 0.5, label 0).
+    each fits its own model, and the weights are averaged. Without examples there is an intercept of -1 only, which calls nothing toxic.
     """
     chosen = (
         labels.filter("doc_id IS NOT NULL AND toxic IS NOT NULL").filter(~held_out(F.col("doc_id")))
@@ -109,7 +109,9 @@ def fit(docs: DataFrame, labels: DataFrame, p: Ftrl = Ftrl()) -> dict[int, float
 
     fitted = packed.groupBy("shard").applyInPandas(one, "at long, w double, shard int")
     rows = fitted.collect()  # at most shards * coordinates that the L1 term left
-    shards = max(1, len({r.shard for r in rows}))
+    if not rows:
+        return {1 << p.bits: -1.0}
+    shards = len({r.shard for r in rows})
     total: dict[int, float] = {}
     for r in sorted(rows, key=lambda r: (r.at, r.shard)):
         total[r.at] = total.get(r.at, 0.0) + r.w / shards
