@@ -26,7 +26,7 @@ def training_table(
     indexed: DataFrame, trades: DataFrame | None, expiry: str = "null", timeframe_us: int = DAY_US, layout: Layout = LAYOUT
 ) -> DataFrame:
     """Bar features, trade-log features and labels without incomplete rows, numbered anew."""
-    framed = apply_local(indexed, feature_op(layout=layout), live_barrier(expiry=expiry), layout=layout)
+    framed = apply_local(indexed, feature_op(), live_barrier(expiry=expiry), layout=layout)
     full = trailing_trade_features(framed, trades)
     clean = full.dropna("any", subset=[*FEATURES, *TRADE_FEATURES, "label"])
     return index_bars(clean.drop("bar_idx"), timeframe_us=timeframe_us, layout=layout)

@@ -126,7 +126,7 @@ def barrier_outcomes(
     ``events(symbol, entry_time)`` restricts entries; times without a bar are skipped, repeated
     events stay repeated. Rows without volatility are skipped.
     """
-    ops = [] if vol else [wilder_atr(RESEARCH.atr_period, warm_up=False, layout=layout)]
+    ops = [] if vol else [wilder_atr(RESEARCH.atr_period, warm_up=False)]
     ops.append(research_barrier(pt_mult, sl_mult, max_hold, vol or "atr"))
     out = apply_local(indexed, *ops, layout=layout).where(F.col("_vol").isNotNull())
     if events is not None:

@@ -2,38 +2,33 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from barflow.config import LAYOUT, LIVE, Layout
-from barflow.operators.series import LocalOp, apply_local
-
-MEMORY_LOSS = 1e-20
-
-
-def ewm_memory(alpha: float) -> int:
-    """Bars after which an exponentially weighted mean has forgotten its past (weight < 1e-20)."""
-    return math.ceil(math.log(MEMORY_LOSS) / math.log(1.0 - alpha))
+from barflow.operators.series import LocalOp, State, apply_local
 
 
-def ewm(value: Column, alpha: float, first_idx: int, w: WindowSpec, min_periods: int) -> Column:
-    """Recursive mean y_t = (1-a) y_{t-1} + a x_t as one running sum of rescaled terms.
+def ewm(df: DataFrame, name: str, value: Column, alpha: float, first_idx: int, w: WindowSpec, min_periods: int) -> DataFrame:
+    """Add the recursive mean y_t = (1-a) y_{t-1} + a x_t as one running sum of rescaled terms.
 
-    Inside a chunk y_t = d^t * sum(a x_i d^-i); what precedes the halo weighs less than 1e-20.
+    Inside a frame y_t = d^t * (carry + sum(a x_i d^-i)); the carry is the mean at the frame's first bar, which needs the bar
+    before it and so is known from the chunk before. Needs the state ``ewm_state(name, alpha)`` and one bar of look-back.
     """
     decay = 1.0 - alpha
-    weight = F.when(F.col("bar_idx") == first_idx, F.lit(1.0)).otherwise(F.lit(alpha))
+    weight = (
+        F.when(F.col("bar_idx") == first_idx, F.lit(1.0))
+        .when((F.col("_pos") == 0) & (F.col("_from") > 0), F.lit(0.0))
+        .otherwise(F.lit(alpha))
+    )
     term = F.coalesce(value, F.lit(0.0)) * weight * F.pow(F.lit(decay), -F.col("_pos"))
-    total = F.sum(term).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    mean = total * F.pow(F.lit(decay), F.col("_pos"))
-    return F.when(F.col("bar_idx") - first_idx + 1 >= max(min_periods, 1), mean)
+    total = F.sum(term).over(w.rowsBetween(Window.unboundedPreceding, 0)) + F.coalesce(F.col(f"_carry_{name}"), F.lit(0.0))
+    df = df.withColumn(f"_state_{name}", total * F.pow(F.lit(decay), F.col("_pos")))
+    return df.withColumn(name, F.when(F.col("bar_idx") - first_idx + 1 >= max(min_periods, 1), F.col(f"_state_{name}")))
 
 
-def _check(alpha: float, layout: Layout) -> None:
-    if (layout.chunk_bars + ewm_memory(alpha) + 64) * -math.log(1.0 - alpha) > 690:
-        raise ValueError("chunk_bars is too large for this smoothing factor; pass a smaller layout")
+def ewm_state(name: str, alpha: float) -> State:
+    return State(name, 1.0 - alpha)
 
 
 def true_range() -> LocalOp:
@@ -51,19 +46,16 @@ def true_range() -> LocalOp:
     return LocalOp(1, 0, apply)
 
 
-def wilder_atr(period: int = LIVE.period, warm_up: bool = True, name: str = "atr", layout: Layout = LAYOUT) -> LocalOp:
+def wilder_atr(period: int = LIVE.period, warm_up: bool = True, name: str = "atr") -> LocalOp:
     """Average true range. ``warm_up`` hides the first ``period - 1`` values (live variant);
     without it the first value is high - low (research variant)."""
     alpha = 1.0 / period
-    _check(alpha, layout)
 
     def apply(df: DataFrame, w: WindowSpec) -> DataFrame:
         df = true_range().apply(df, w)
-        return df.withColumn(
-            name, ewm(F.col("true_range"), alpha, 0, w, period if warm_up else 1)
-        ).drop("true_range")
+        return ewm(df, name, F.col("true_range"), alpha, 0, w, period if warm_up else 1).drop("true_range")
 
-    return LocalOp(ewm_memory(alpha) + 1, 0, apply)
+    return LocalOp(1, 0, apply, (ewm_state(name, alpha),))
 
 
 def log_return(name: str = "log_return") -> LocalOp:
@@ -73,44 +65,41 @@ def log_return(name: str = "log_return") -> LocalOp:
     return LocalOp(1, 0, apply)
 
 
-def wilder_rsi(period: int = LIVE.period, name: str = "norm_rsi", layout: Layout = LAYOUT) -> LocalOp:
+def wilder_rsi(period: int = LIVE.period, name: str = "norm_rsi") -> LocalOp:
     """RSI on 0..1. All-gain windows give 1, windows without any move give NULL."""
     alpha = 1.0 / period
-    _check(alpha, layout)
 
     def apply(df: DataFrame, w: WindowSpec) -> DataFrame:
         df = df.withColumn("_move", F.col("close") - F.lag("close").over(w))
         gain = F.greatest(F.col("_move"), F.lit(0.0))
         loss = F.greatest(-F.col("_move"), F.lit(0.0))
-        df = df.withColumns(
-            {"_gain": ewm(gain, alpha, 1, w, period), "_loss": ewm(loss, alpha, 1, w, period)}
-        )
+        df = ewm(ewm(df, "_gain", gain, alpha, 1, w, period), "_loss", loss, alpha, 1, w, period)
         ratio = F.try_divide("_gain", "_loss")
         rsi = F.when((F.col("_loss") == 0) & (F.col("_gain") > 0), F.lit(1.0)).otherwise(1.0 - 1.0 / (1.0 + ratio))
         return df.withColumn(name, rsi).drop("_move", "_gain", "_loss")
 
-    return LocalOp(ewm_memory(alpha) + 1, 0, apply)
+    return LocalOp(1, 0, apply, (ewm_state("_gain", alpha), ewm_state("_loss", alpha)))
 
 
 def volatility_ratio() -> LocalOp:
     return LocalOp(0, 0, lambda df, w: df.withColumn("volatility_ratio", F.try_divide("atr", "close")))
 
 
-def feature_op(period: int = LIVE.period, layout: Layout = LAYOUT) -> LocalOp:
-    """The four model features in one op: the averages look back over the same halo."""
-    parts = [wilder_atr(period, layout=layout), log_return(), volatility_ratio(), wilder_rsi(period, layout=layout)]
+def feature_op(period: int = LIVE.period) -> LocalOp:
+    """The four model features in one op that looks one bar back."""
+    parts = [wilder_atr(period), log_return(), volatility_ratio(), wilder_rsi(period)]
 
     def apply(df: DataFrame, w: WindowSpec) -> DataFrame:
         for part in parts:
             df = part.apply(df, w)
         return df
 
-    return LocalOp(max(p.back for p in parts), 0, apply)
+    return LocalOp(max(p.back for p in parts), 0, apply, tuple(s for p in parts for s in p.states))
 
 
 def build_features(indexed: DataFrame, period: int = LIVE.period, layout: Layout = LAYOUT) -> DataFrame:
     """Indexed bars + ``log_return, atr, volatility_ratio, norm_rsi``; one shuffle."""
-    return apply_local(indexed, feature_op(period, layout), layout=layout)
+    return apply_local(indexed, feature_op(period), layout=layout)
 
 
 def volume_average(k: int, name: str = "vma") -> LocalOp:

@@ -42,9 +42,8 @@ def regime_op(
     low: float = RESEARCH.regime_low,
     high: float = RESEARCH.regime_high,
     allowed: Sequence[str] = ("MEDIUM",),
-    layout: Layout = LAYOUT,
 ) -> LocalOp:
-    atr = wilder_atr(RESEARCH.atr_period, warm_up=False, name="_atr", layout=layout)
+    atr = wilder_atr(RESEARCH.atr_period, warm_up=False, name="_atr")
     rank = rolling_rank("_atr", window, "_pct")
 
     def apply(df: DataFrame, w: WindowSpec) -> DataFrame:
@@ -52,9 +51,9 @@ def regime_op(
         df = df.withColumn("volatility_regime", regime_class(F.col("_pct"), low, high))
         return df.withColumn("tradable", regime_mask(F.col("volatility_regime"), allowed)).drop("_atr", "_pct")
 
-    return LocalOp(atr.back + rank.back, 0, apply)
+    return LocalOp(atr.back + rank.back, 0, apply, atr.states)
 
 
 def attach_regime(indexed: DataFrame, layout: Layout = LAYOUT, **options) -> DataFrame:
     """Indexed bars + ``volatility_regime`` and ``tradable``; all other columns unchanged."""
-    return apply_local(indexed, regime_op(layout=layout, **options), layout=layout)
+    return apply_local(indexed, regime_op(**options), layout=layout)

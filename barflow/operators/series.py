@@ -12,6 +12,7 @@ all rows is spread over as many tasks as it has chunks.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
@@ -166,17 +167,27 @@ def with_length(indexed: DataFrame, keys: Sequence[str] = ("symbol",), name: str
 
 
 # --------------------------------------------------------------------------- chunks with halo
+@dataclass(frozen=True)
+class State:
+    """A recursion y_t = decay * y_{t-1} + term over the whole series."""
+
+    name: str
+    decay: float
+
+
 @dataclass(frozen=True)
 class LocalOp:
     """Columns that need at most ``back`` earlier and ``ahead`` later bars of the same series.
 
     ``apply(df, w)`` adds columns to the chunked frame; ``w`` is the chunk window ordered by
-    ``bar_idx``. Ops passed together to ``apply_local`` share one shuffle and one sort.
+    ``bar_idx``. Ops passed together to ``apply_local`` share one shuffle and one sort. An op with
+    ``states`` adds ``_state_<name>`` per state and reads what came before from ``_carry_<name>``.
     """
 
     back: int
     ahead: int
     apply: Callable[[DataFrame, WindowSpec], DataFrame]
+    states: tuple[State, ...] = ()
 
 
 def spread_halo(
@@ -188,23 +199,61 @@ def spread_halo(
     return df.withColumn(chunk, F.explode(F.sequence(first, last)))
 
 
+def _carries(framed: DataFrame, ops: Sequence[LocalOp], states: Sequence[State], keys: list[str], back: int, layout: Layout) -> DataFrame:
+    """``(keys, _chunk, _carry_<name>)``: each state at the first bar of a frame that does not begin the series.
+
+    A chunk adds the state it reaches from zero; what lies ``j`` chunks back is scaled by decay^(j * chunk_bars). Chunks
+    whose scale is zero in double precision are outside the sum, so a task sees a block of chunks and a few before it.
+    """
+    size = layout.chunk_bars
+    fresh = framed.withColumns({f"_carry_{s.name}": F.lit(0.0) for s in states})
+    w = Window.partitionBy(*keys, "_chunk").orderBy("bar_idx")
+    for op in ops:
+        fresh = op.apply(fresh, w)
+    following = (F.col("_chunk") + 1) * size - back
+    totals = fresh.where((F.col("bar_idx") == following) & (following > 0)).select(*keys, "_chunk", *[F.col(f"_state_{s.name}").alias(s.name) for s in states])
+    scales = {s.name: math.pow(s.decay, size) for s in states}
+    # 1e-330 times the largest double is zero
+    reach = max(math.ceil(1470 / (-math.log(s.decay) * size)) for s in states)
+    blocks = spread_halo(totals, reach, 0, layout.fanout, idx="_chunk", chunk="_block")
+    before = Window.partitionBy(*keys, "_block").orderBy("_chunk").rowsBetween(-reach, 0)
+    own = F.floor(F.col("_chunk") / layout.fanout) == F.col("_block")
+    for name, scale in scales.items():
+        blocks = blocks.withColumn(f"_carry_{name}", F.aggregate(F.collect_list(name).over(before), F.lit(0.0), _decayed_sum(scale)))
+    return blocks.where(own).select(*keys, (F.col("_chunk") + 1).alias("_chunk"), *[f"_carry_{s.name}" for s in states])
+
+
+def _decayed_sum(scale: float) -> Callable[[Column, Column], Column]:
+    return lambda total, x: total * scale + x
+
+
 def apply_local(
     indexed: DataFrame,
     *ops: LocalOp,
     keys: Sequence[str] = ("symbol",),
     layout: Layout = LAYOUT,
 ) -> DataFrame:
-    """Run ops over chunks of ``chunk_bars`` rows plus a halo and keep the core rows."""
+    """Run ops over chunks of ``chunk_bars`` rows plus a halo and keep the core rows.
+
+    Recursions are exact: the state before a frame is carried in, one row per chunk.
+    """
+    keys = list(keys)
+    states = [s for op in ops for s in op.states]
     back = sum(op.back for op in ops)
     ahead = sum(op.ahead for op in ops)
     size = layout.chunk_bars
+    for s in states:
+        if (size + back + ahead) * -math.log(s.decay) > 690:
+            raise ValueError("chunk_bars is too large for this smoothing factor; pass a smaller layout")
     framed = spread_halo(indexed, back, ahead, size)
-    framed = framed.withColumn("_pos", F.col("bar_idx") - F.col("_chunk") * size + back)
+    framed = framed.withColumn("_from", F.col("_chunk") * size - back).withColumn("_pos", F.col("bar_idx") - F.col("_from"))
+    if states:
+        framed = framed.join(_carries(framed, ops, states, keys, back, layout), [*keys, "_chunk"], "left")
     w = Window.partitionBy(*keys, "_chunk").orderBy("bar_idx")
     for op in ops:
         framed = op.apply(framed, w)
     core = F.floor(F.col("bar_idx") / size).cast("bigint") == F.col("_chunk")
-    return framed.where(core).drop("_chunk", "_pos")
+    return framed.where(core).drop("_chunk", "_pos", "_from", *[f"_{kind}_{s.name}" for s in states for kind in ("carry", "state")])
 
 
 def chunk_of(layout: Layout = LAYOUT, idx: str = "bar_idx") -> Column:

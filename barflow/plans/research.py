@@ -33,13 +33,12 @@ SIZE = 0.00001
 
 def traded_series(spark, sf_dir):
     def apply(df, w):
-        alpha = 1.0 / 14
-        smooth = features.ewm(F.col("close"), alpha, 0, w, 1)
+        df = features.ewm(df, "_smooth", F.col("close"), 1.0 / 14, 0, w, 1)
         raw = F.when(F.col("close") > F.col("open") * 2, 1).when(F.col("close") * 2 < F.col("open"), -1).otherwise(0)
-        df = df.withColumns({"_smooth": smooth, "signal": F.when(F.col("bar_idx") >= 10, raw)})
+        df = df.withColumn("signal", F.when(F.col("bar_idx") >= 10, raw))
         return df.withColumn("close", F.col("_smooth")).drop("_smooth")
 
-    smooth = LocalOp(features.ewm_memory(1.0 / 14) + 1, 0, apply)
+    smooth = LocalOp(1, 0, apply, (features.ewm_state("_smooth", 1.0 / 14),))
     out = apply_local(tables.indexed_daily(spark, sf_dir), features.volume_average(20), smooth)
     return out.select("symbol", "ts", "bar_idx", "signal", "close", "vma", F.lit(SIZE).alias("size"))
 

@@ -83,9 +83,27 @@ def test_rsi_edge_cases(spark):
     assert out[out.symbol == "flat"]["norm_rsi"].isna().all()
 
 
-def test_large_chunks_are_refused_for_fast_decay():
+def test_large_chunks_are_refused_for_fast_decay(bars):
     with pytest.raises(ValueError):
-        features.wilder_atr(period=2, layout=Layout(chunk_bars=4096))
+        apply_local(bars[1], features.wilder_atr(period=2), layout=Layout(chunk_bars=4096))
+
+
+def test_averages_do_not_depend_on_chunks(spark):
+    rng = np.random.default_rng(3)
+    close = np.concatenate([100 + np.cumsum(rng.normal(0, 1, 1000)), np.full(4000, 0.0)])
+    close[1000:] = close[999]
+    rows = [("s", DAY + timedelta(hours=i), c, c + (i < 1000), c, c, 1.0, i) for i, c in enumerate(close.tolist())]
+    df = spark.createDataFrame(rows, "symbol string, ts timestamp, open double, high double, low double, close double, volume double, bar_idx bigint")
+    move = np.diff(close, prepend=np.nan)
+    gain, loss = (pd.Series(np.maximum(sign * move, 0)[1:]).ewm(alpha=1 / 14, adjust=False, min_periods=14).mean() for sign in (1, -1))
+    rsi = np.concatenate([[np.nan], 1 - 1 / (1 + gain / loss)])
+    for size in (64, 512, 2048):
+        layout = Layout(chunk_bars=size, fanout=7)
+        out = collect(apply_local(df, features.feature_op(), layout=layout), "norm_rsi", "atr").sort_values("bar_idx")
+        np.testing.assert_allclose(out["norm_rsi"].to_numpy(float), rsi, rtol=1e-9)
+        assert (out["atr"].to_numpy()[13:] > 0).all() and (np.diff(out["atr"].to_numpy()[1100:]) < 0).all()
+        late = collect(regime.attach_regime(df, layout=layout), "volatility_regime").sort_values("bar_idx")
+        assert (late["volatility_regime"].to_numpy()[1100:] == "LOW").all()
 
 
 def live_reference(g, tp=1.5, sl=1.0, vertical=5):
