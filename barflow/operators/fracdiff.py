@@ -24,19 +24,23 @@ def cut_weights(d: float, threshold: float, limit: int) -> list[float]:
     return weights[: next(small, len(weights))]
 
 
-def frac_diff_op(weights: list[float], value: str = "close", name: str = "frac_diff") -> LocalOp:
-    """Sliding dot product; NULL where the window is not full."""
+def frac_diff_op(weights: list[float], value: str = "close", name: str = "frac_diff", short: bool = False) -> LocalOp:
+    """Sliding dot product; NULL where the window is not full.
+
+    With ``short`` a series with fewer rows than weights gets one value: its last row over all its rows.
+    """
     width = len(weights)
     oldest_first = weights[::-1]
 
     def apply(df: DataFrame, w: WindowSpec) -> DataFrame:
-        frame = F.collect_list(value).over(w.rowsBetween(1 - width, 0))
-        factors = F.array(*[F.lit(x) for x in oldest_first])
+        df = df.withColumn("_frame", F.collect_list(value).over(w.rowsBetween(1 - width, 0)))
+        have = F.size("_frame")
+        factors = F.slice(F.array(*[F.lit(x) for x in oldest_first]), F.lit(width + 1) - have, have)
         dot = F.aggregate(F.zip_with("_frame", factors, lambda x, f: x * f), F.lit(0.0), lambda a, x: a + x)
-        full = F.col("bar_idx") >= width - 1
-        return df.withColumn("_frame", frame).withColumn(name, F.when(full, dot)).drop("_frame")
+        last = F.lead("bar_idx").over(w).isNull() if short else F.lit(False)
+        return df.withColumn("_last", last).withColumn(name, F.when((have == width) | F.col("_last"), dot)).drop("_frame", "_last")
 
-    return LocalOp(width - 1, 0, apply)
+    return LocalOp(width - 1, int(short), apply)
 
 
 def frac_diff(
@@ -50,17 +54,17 @@ def frac_diff(
 ) -> DataFrame:
     """Fractionally differenced ``value`` per symbol; rows without a full window are left out.
 
-    ``max_lag`` defaults to the length of the series, as weights below ``threshold`` end the
-    window long before. Rows with a NULL value are dropped first; pass ``timeframe_us`` to have
-    the rest numbered again.
+    Weights end at the first lag below ``threshold``, at ``max_lag`` or, without it, at the length of the series: a shorter
+    series gives one row. Rows with a NULL value are dropped first; pass ``timeframe_us`` to have the rest numbered again.
     """
-    limit = max_lag if max_lag is not None else layout.chunk_bars
+    limit = max_lag
+    if limit is None:
+        counts = series.where(F.col(value).isNotNull()).groupBy("symbol").agg(F.count(F.lit(1)).alias("n"))
+        limit = counts.agg(F.max("n")).first()[0] or 1
     weights = cut_weights(d, threshold, limit)
-    if max_lag is None and len(weights) == limit:
-        raise ValueError("weights do not fall below the threshold within a chunk; pass max_lag")
     if timeframe_us is not None:
         series = index_bars(
             series.where(F.col(value).isNotNull()).drop("bar_idx"), timeframe_us=timeframe_us, layout=layout
         )
-    out = apply_local(series, frac_diff_op(weights, value), layout=layout)
+    out = apply_local(series, frac_diff_op(weights, value, short=max_lag is None), layout=layout)
     return out.where(F.col("frac_diff").isNotNull())

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from barflow.config import Layout
 from barflow.operators import asof, barriers, features, trades
 from barflow.operators.series import apply_local
 from barflow.plans.registry import query, r, us
@@ -141,6 +142,25 @@ def wilder_rsi(spark, sf_dir):
     return out.select("symbol", "bar_idx", r("norm_rsi"))
 
 
+FLAT = """
+ib AS (
+  SELECT symbol, ts, bar_idx, n_bars, lag(close) OVER (PARTITION BY symbol ORDER BY ts) AS pc, volume, open, high, low, close FROM (
+    SELECT * REPLACE (CASE WHEN bar_idx < 100 THEN high ELSE 50000 END AS high, CASE WHEN bar_idx < 100 THEN low ELSE 50000 END AS low,
+                      CASE WHEN bar_idx < 100 THEN close ELSE 50000 END AS close) FROM moving))"""
+
+
+@query(
+    "w6_wilder_rsi_flat",
+    with_(BARS.replace("ib AS", "moving AS"), FLAT, ATR, RSI, select="SELECT symbol, CAST(bar_idx AS BIGINT) AS bar_idx, round(norm_rsi, 6) AS norm_rsi, atr > 0 AS moved FROM feats"),
+)
+def wilder_rsi_flat(spark, sf_dir):
+    """Bars that stand still from the 100th on, over chunks of 256 bars."""
+    late = F.col("bar_idx") >= 100
+    flat = tables.indexed_daily(spark, sf_dir).withColumns({c: F.when(late, 50000.0).otherwise(F.col(c)) for c in ("high", "low", "close")})
+    out = features.build_features(flat, layout=Layout(chunk_bars=256))
+    return out.select("symbol", "bar_idx", r("norm_rsi"), (F.col("atr") > 0).alias("moved"))
+
+
 ROUNDED = "round(log_return, 6) AS log_return, round(atr, 3) AS atr, round(volatility_ratio, 6) AS volatility_ratio, round(norm_rsi, 6) AS norm_rsi"
 
 

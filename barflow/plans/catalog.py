@@ -1,4 +1,4 @@
 """All registered queries."""
 
-from barflow.plans import bars, labels, models, research, streams, text, trading  # noqa: F401
+from barflow.plans import bars, labels, models, research, stores, streams, text, trading  # noqa: F401
 from barflow.plans.registry import ORACLES, QUERIES  # noqa: F401

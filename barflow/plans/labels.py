@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from barflow.config import LAYOUT
 from barflow.operators import barriers, containment, drift, features, fracdiff, regime
 from barflow.operators.series import apply_local
 from barflow.plans.registry import query, r, us
@@ -152,29 +151,55 @@ def attach_regime(spark, sf_dir):
     return out.select("symbol", us(), "close", "volatility_regime", "tradable")
 
 
-def _frac_sql(width: int, d: float) -> str:
+def _frac_sql(threshold: str, d: float, source: str = "ib") -> str:
+    """Weights up to the first below the threshold, or to the length of the series; computed here, not by the library."""
     return with_(
         BARS,
-        f"""wt AS (SELECT 0 AS k, 1e0 AS w UNION ALL SELECT k + 1, w * (k - {d}e0) / (k + 1) FROM wt WHERE k + 1 < {width}),
-        dots AS (SELECT a.symbol, a.bar_idx, sum(wt.w * b.close) AS v FROM ib a JOIN wt ON a.bar_idx >= {width - 1}
-          JOIN ib b ON b.symbol = a.symbol AND b.bar_idx = a.bar_idx - wt.k GROUP BY 1, 2)""",
-        select="SELECT symbol, CAST(bar_idx AS BIGINT) AS bar_idx, round(v, 3) AS frac_diff FROM dots",
+        f"""wt AS (SELECT 0 AS k, 1e0 AS w UNION ALL SELECT k + 1, w * (k - {d}e0) / (k + 1) FROM wt
+            WHERE abs(w * (k - {d}e0) / (k + 1)) >= {threshold} AND k + 1 < (SELECT max(n_bars) FROM {source})),
+        src AS (SELECT *, least(n_bars, (SELECT count(*) FROM wt)) AS width FROM {source}),
+        dots AS (SELECT symbol, bar_idx + k AS bar_idx, sum(w * close) AS v FROM src JOIN wt ON k < width GROUP BY 1, 2 HAVING count(*) = max(width))""",
+        select="SELECT symbol, CAST(bar_idx AS BIGINT) AS bar_idx, round(v, 4) AS frac_diff FROM dots",
     )
 
 
-FRAC_WIDTH = len(fracdiff.cut_weights(0.5, 1e-3, LAYOUT.chunk_bars))
+def _frac(df, **options):
+    return fracdiff.frac_diff(df, **options).select("symbol", "bar_idx", r("frac_diff", 4))
 
 
-@query("w12_frac_diff", _frac_sql(FRAC_WIDTH, 0.5))
+@query("w12_frac_diff", _frac_sql("1e-4", 0.5))
 def frac_diff(spark, sf_dir):
-    out = fracdiff.frac_diff(tables.indexed_daily(spark, sf_dir), d=0.5, threshold=1e-3)
-    return out.select("symbol", "bar_idx", r("frac_diff", 3))
+    return _frac(tables.indexed_daily(spark, sf_dir))
 
 
-@query("w12_frac_diff_first", _frac_sql(2, 1.0))
+@query("w12_frac_diff_first", _frac_sql("1e-4", 1.0))
 def frac_diff_first(spark, sf_dir):
-    out = fracdiff.frac_diff(tables.indexed_daily(spark, sf_dir), d=1.0)
-    return out.select("symbol", "bar_idx", r("frac_diff", 3))
+    return _frac(tables.indexed_daily(spark, sf_dir), d=1.0)
+
+
+SHORT = "(SELECT * REPLACE (symbol || '/' || (bar_idx // 100) AS symbol, bar_idx % 100 AS bar_idx, least(100, n_bars - bar_idx // 100 * 100) AS n_bars) FROM ib)"
+
+
+@query("w12_frac_diff_short", _frac_sql("1e-4", 0.5, SHORT))
+def frac_diff_short(spark, sf_dir):
+    """Series of 100 bars, shorter than the weights: one row each."""
+    bars = tables.indexed_daily(spark, sf_dir)
+    part = F.floor(F.col("bar_idx") / 100)
+    cut = bars.withColumn("symbol", F.concat_ws("/", "symbol", part.cast("string"))).withColumn("bar_idx", F.col("bar_idx") % 100)
+    return _frac(cut)
+
+
+@query(
+    "w11_frac_weights",
+    """WITH RECURSIVE ds AS (SELECT DISTINCT round(l_discount * 10, 1) AS d FROM lineitem),
+    wt AS (SELECT d, 0 AS k, 1e0 AS w FROM ds UNION ALL SELECT d, k + 1, w * (k - d) / (k + 1) FROM wt WHERE abs(w * (k - d) / (k + 1)) >= 1e-3 AND k < 999)
+    SELECT d, k, round(w, 9) AS w FROM wt""",
+)
+def frac_weights(spark, sf_dir):
+    """Weights for every differencing degree that the discounts of the lines make."""
+    degrees = tables.table(spark, sf_dir, "lineitem").select(F.round(F.col("l_discount") * 10, 1).alias("d")).distinct().collect()
+    rows = [(x.d, k, w) for x in degrees for k, w in enumerate(fracdiff.cut_weights(x.d, 1e-3, 1000))]  # a few degrees
+    return spark.createDataFrame(rows, "d double, k int, w double").select("d", "k", r("w", 9))
 
 
 EDGES_SQL = """

@@ -13,22 +13,31 @@ BARS = T.StructType(
     + [T.StructField(name, T.DoubleType()) for name in OHLCV]
 )
 
-# Fixed column orders of the log tables.
-TRADE_COLUMNS = [
-    "entry_time", "exit_time", "symbol", "side", "entry_price", "exit_price",
-    "size", "pnl_usd", "return_pct", "exit_reason", "position_id",
-]
-SNAPSHOT_COLUMNS = [
-    "timestamp", "cash_usd", "equity_usd", "starting_cash_usd",
-    "open_positions", "position_symbol", "position_side", "position_size",
-    "position_entry_price", "position_tp_price", "position_sl_price",
-    "position_bars_held", "total_trades", "winning_trades", "win_rate",
-]
-EVOLUTION_COLUMNS = [
-    "timestamp", "trigger", "n_features", "n_samples", "n_estimators",
-    "learning_rate", "oos_accuracy", "in_sample_accuracy", "trade_count",
-    "duration_seconds", "model_path", "notes",
-]
+_TYPES = {"string": T.StringType(), "double": T.DoubleType(), "bigint": T.LongType(), "timestamp": T.TimestampType()}
+
+
+def _struct(columns: str) -> T.StructType:
+    pairs = (column.split() for column in columns.split(","))
+    return T.StructType([T.StructField(name, _TYPES[kind]) for name, kind in pairs])
+
+
+# Column orders of the log tables and fields of the portfolio document.
+TRADES = _struct(
+    "entry_time timestamp, exit_time timestamp, symbol string, side string, entry_price double, exit_price double, "
+    "size double, pnl_usd double, return_pct double, exit_reason string, position_id string"
+)
+SNAPSHOTS = _struct(
+    "timestamp timestamp, cash_usd double, equity_usd double, starting_cash_usd double, "
+    "open_positions bigint, position_symbol string, position_side string, position_size double, "
+    "position_entry_price double, position_tp_price double, position_sl_price double, "
+    "position_bars_held bigint, total_trades bigint, winning_trades bigint, win_rate double"
+)
+EVOLUTION = _struct(
+    "timestamp timestamp, trigger string, n_features bigint, n_samples bigint, n_estimators bigint, "
+    "learning_rate double, oos_accuracy double, in_sample_accuracy double, trade_count bigint, "
+    "duration_seconds double, model_path string, notes string"
+)
+TRADE_COLUMNS, SNAPSHOT_COLUMNS, EVOLUTION_COLUMNS = TRADES.names, SNAPSHOTS.names, EVOLUTION.names
 TELEMETRY_COLUMNS = [
     "timestamp", "type", "symbol", "price", "p_tp", "p_sl",
     "edge", "tp_price", "sl_price", "signal", "pnl",

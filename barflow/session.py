@@ -7,8 +7,11 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 
 
-def build_session(app: str = "barflow", master: str | None = None, **conf: str) -> SparkSession:
-    """A session with the settings the library relies on; extra ``conf`` keys use ``__`` for dots."""
+def build_session(app: str = "barflow", master: str | None = None, checkpoint_dir: str | None = None, **conf: str) -> SparkSession:
+    """A session with the settings the library relies on; extra ``conf`` keys use ``__`` for dots.
+
+    ``checkpoint_dir`` is a folder that all machines share; only a local master can do without.
+    """
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
@@ -19,6 +22,8 @@ def build_session(app: str = "barflow", master: str | None = None, **conf: str)
         "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         "spark.ui.showConsoleProgress": "false",
     }
+    if checkpoint_dir:
+        settings["spark.checkpoint.dir"] = checkpoint_dir
     settings.update({key.replace("__", "."): value for key, value in conf.items()})
     for key, value in settings.items():
         builder = builder.config(key, value)
@@ -32,13 +37,17 @@ def use_utc(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder the cluster names for checkpoints; a scratch folder only where none is named."""
+    """The folder the cluster names for checkpoints; a scratch folder only where none is named and all runs on one machine."""
     context = spark.sparkContext
     current = context.getCheckpointDir()
     if current:
         return current
     named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
-    context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+    if not named:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+        named = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    context.setCheckpointDir(named)
     return context.getCheckpointDir()
 
 

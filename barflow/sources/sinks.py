@@ -4,21 +4,26 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from barflow.operators.portfolio import latest_snapshot
-from barflow.schemas import EVOLUTION_COLUMNS, SNAPSHOT_COLUMNS, TELEMETRY_COLUMNS, TRADE_COLUMNS
+from barflow.schemas import EVOLUTION, SNAPSHOTS, TELEMETRY_COLUMNS, TRADES
 
 
-def ordered(df: DataFrame, columns: list[str], lead: tuple[str, ...] = ()) -> DataFrame:
-    """Fixed column order; columns the input lacks are NULL."""
+def ordered(df: DataFrame, schema: T.StructType, lead: tuple[str, ...] = ()) -> DataFrame:
+    """Fixed columns and types, whatever the input holds; columns it lacks are NULL, as are values of another type."""
     have = set(df.columns)
     keep = [c for c in lead if c in have]
-    return df.select(*keep, *[F.col(c) if c in have else F.lit(None).cast("string").alias(c) for c in columns])
+    typed = [(F.col(f.name) if f.name in have else F.lit(None)).try_cast(f.dataType).alias(f.name) for f in schema]
+    return df.select(*keep, *typed)
 
 
 def append_trades(trades: DataFrame, path: str) -> None:
-    """Trade rows, one folder per exit day, so that readers of recent trades prune the rest."""
-    rows = ordered(trades, TRADE_COLUMNS).withColumn("exit_date", F.to_date("exit_time"))
+    """Trade rows, one folder per exit day, so that readers of recent trades prune the rest.
+
+    Rows of a day are brought together first, or every task would write a file per day; large days are split.
+    """
+    rows = ordered(trades, TRADES).withColumn("exit_date", F.to_date("exit_time")).hint("rebalance", "exit_date")
     rows.write.mode("append").partitionBy("exit_date").parquet(path)
 
 
@@ -27,12 +32,15 @@ def live_rows(rows: DataFrame, order: tuple[str, ...] = ("timestamp",)) -> DataF
 
 
 def write_live_rows(rows: DataFrame, path: str) -> None:
-    """One row per portfolio; each write replaces the last."""
-    ordered(live_rows(rows), SNAPSHOT_COLUMNS, ("portfolio",)).write.mode("overwrite").parquet(path)
+    """One row per portfolio; each write replaces the rows of its own portfolios."""
+    writer = ordered(live_rows(rows), SNAPSHOTS, ("portfolio",)).write.mode("overwrite")
+    if "portfolio" in rows.columns:
+        writer = writer.option("partitionOverwriteMode", "dynamic").partitionBy("portfolio")
+    writer.parquet(path)
 
 
 def append_evolution(metrics: DataFrame, path: str) -> None:
-    ordered(metrics, EVOLUTION_COLUMNS).write.mode("append").parquet(path)
+    ordered(metrics, EVOLUTION).write.mode("append").parquet(path)
 
 
 def telemetry_rows(signals: DataFrame, trades: DataFrame) -> DataFrame:

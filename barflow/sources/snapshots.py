@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import datetime, timedelta, timezone
+import time
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,9 +26,9 @@ def read_snapshot(
 ) -> DataFrame | None:
     """The table at ``path``; None if it is missing or, with a bound, not fresh enough.
 
-    Part files are filtered by modification time in the scan itself. In CSV, columns named
-    ``timestamp`` or containing ``time`` become UTC timestamps; without a schema other columns
-    are read as text or as inferred numbers.
+    Fresh or stale is decided once for the whole snapshot, by its newest part file; an age equal to
+    the bound is stale. In CSV, columns named ``timestamp`` or containing ``time`` become UTC
+    timestamps; without a schema other columns are read as text or as inferred numbers.
     """
     is_csv = path.endswith(".csv")
     reader = spark.read.format("csv" if is_csv else "parquet")
@@ -37,14 +37,12 @@ def read_snapshot(
         reader = reader.schema(schema) if schema is not None else reader.option("inferSchema", True)
     elif schema is not None:
         reader = reader.schema(schema)
-    if max_age_seconds is not None:
-        # Options are in the session time zone; age equal to the bound counts as stale.
-        oldest = datetime.now(timezone.utc) - timedelta(seconds=max_age_seconds)
-        reader = reader.option("modifiedAfter", oldest.strftime("%Y-%m-%dT%H:%M:%S")).option("timeZone", "UTC")
     try:
+        if max_age_seconds is not None:
+            written = spark.read.format("binaryFile").load(path).agg(F.unix_micros(F.max("modificationTime"))).first()[0]
+            if written is None or time.time() - written / 1e6 >= max_age_seconds:
+                return None
         df = reader.load(path)
-        if max_age_seconds is not None and not df.inputFiles():
-            return None
     except Exception as exc:
         if any(word in str(exc) for word in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA")):
             return None
@@ -56,14 +54,14 @@ def read_snapshot(
 
 
 def read_state(
-    spark: SparkSession, path: str, starting_cash: float = LIVE.starting_cash
+    spark: SparkSession, path: str, starting_cash: float = LIVE.starting_cash, multi_line: bool = True
 ) -> tuple[DataFrame, DataFrame]:
-    """(accounts, positions) from portfolio documents, one JSON object per file.
+    """(accounts, positions) from portfolio documents: one JSON object per file, or per line without ``multi_line``.
 
     The fixed schema drops unknown keys. Cash defaults to the starting cash; positions without
     a remaining size keep their full size.
     """
-    raw = spark.read.schema(PORTFOLIO).option("multiLine", True).option("mode", "PERMISSIVE").json(path)
+    raw = spark.read.schema(PORTFOLIO).option("multiLine", multi_line).option("mode", "PERMISSIVE").json(path)
     documents = raw.withColumn("source", F.input_file_name())
     start = F.coalesce("starting_cash_usd", F.lit(starting_cash))
     accounts = documents.select(
@@ -77,7 +75,8 @@ def read_state(
         F.coalesce("daily_start_equity", start).alias("daily_start_equity"),
         "last_timestamp",
     )
-    positions = documents.select("source", F.explode("positions").alias("p")).select("source", "p.*")
+    trades = F.coalesce("total_trades", F.lit(0)).alias("total_trades")
+    positions = documents.select("source", trades, F.explode("positions").alias("p")).select("source", "total_trades", "p.*")
     whole = F.when(F.coalesce("remaining_size", F.lit(0.0)) == 0, F.col("size")).otherwise(F.col("remaining_size"))
     positions = positions.withColumns(
         {
