@@ -53,14 +53,22 @@ def draw_blocks(
     return blocks.select(*keys, "start", "len", source.alias("source"))
 
 
-def resample(indexed: DataFrame, value: str, blocks: DataFrame) -> DataFrame:
-    """``(symbol, rep, pos, src_idx, x)``: the long table of resampled values."""
-    offsets = blocks.withColumn("_o", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("len") - 1)))
-    picked = offsets.select(
-        "symbol", "rep", (F.col("start") + F.col("_o")).alias("pos"), (F.col("source") + F.col("_o")).alias("src_idx")
-    )
-    values = indexed.select("symbol", F.col("bar_idx").alias("src_idx"), F.col(value).alias("x"))
-    return picked.join(values, ["symbol", "src_idx"])
+def resample(indexed: DataFrame, value: str, blocks: DataFrame, pack: int = 256) -> DataFrame:
+    """``(symbol, rep, pos, src_idx, x)``: the long table of resampled values.
+
+    Values are packed in arrays of ``pack`` neighbours, so a block meets one or two rows instead of one per value, and
+    what is aggregated by replicate afterwards is combined before it is shuffled.
+    """
+    part = F.floor(F.col("bar_idx") / pack).cast("bigint")
+    cells = F.array_sort(F.collect_list(F.struct("bar_idx", F.col(value).alias("x"))))
+    packed = indexed.groupBy("symbol", part.alias("part")).agg(cells.alias("cells"))
+    last = F.col("source") + F.col("len") - 1
+    pieces = blocks.withColumn("part", F.explode(F.sequence(F.floor(F.col("source") / pack).cast("bigint"), F.floor(last / pack).cast("bigint"))))
+    low = F.greatest(F.col("source"), F.col("part") * pack)
+    high = F.least(last, F.col("part") * pack + pack - 1)
+    taken = F.slice("cells", (low - F.col("part") * pack + 1).cast("int"), (high - low + 1).cast("int"))
+    found = pieces.join(packed, ["symbol", "part"]).select("symbol", "rep", (F.col("start") - F.col("source")).alias("shift"), F.explode(taken).alias("cell"))
+    return found.select("symbol", "rep", (F.col("shift") + F.col("cell.bar_idx")).alias("pos"), F.col("cell.bar_idx").alias("src_idx"), F.col("cell.x").alias("x"))
 
 
 def bootstrap_statistic(

@@ -51,12 +51,12 @@ def barrier_research_tight(spark, sf_dir):
 
 EVENTS_SQL = """
 ev AS (SELECT l_returnflag || l_linestatus AS symbol, CAST(o_orderdate AS TIMESTAMP) AS entry_time
-       FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_quantity >= 45)"""
+       FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"""
 
 
 def entry_events(spark, sf_dir):
-    """Order dates of large lines as entry times: repeated ones and ones without a bar included."""
-    lines = tables.table(spark, sf_dir, "lineitem").where(F.col("l_quantity") >= 45).select(
+    """Order dates of all lines as entry times: repeated ones and ones without a bar included."""
+    lines = tables.table(spark, sf_dir, "lineitem").select(
         F.concat("l_returnflag", "l_linestatus").alias("symbol"), "l_orderkey"
     )
     orders = tables.table(spark, sf_dir, "orders").select("o_orderkey", tables.utc("o_orderdate").alias("entry_time"))

@@ -139,7 +139,7 @@ def deflated_sharpe(spark, sf_dir):
 
 
 # ------------------------------------------------------------------ bootstrap
-REPS, BLOCK, SEED = 50, 10, 42
+REPS, BLOCK, SEED = 1000, 10, 42
 
 
 def _u(tag: str, key: str) -> str:

@@ -189,8 +189,8 @@ def book_imbalance(spark, sf_dir):
 @query(
     "a7_flow_imbalance",
     """WITH f AS (SELECT time_bucket(INTERVAL 1 HOUR, CAST(ts AS TIMESTAMP)) AS ts,
-         sum(CASE WHEN event_type = 'click' THEN value ELSE 0 END) AS buy, sum(CASE WHEN event_type = 'view' THEN value ELSE 0 END) AS sell
-         FROM events WHERE event_type IN ('click', 'view') GROUP BY 1)
+         sum(CASE WHEN event_type IN ('click', 'purchase', 'signup') THEN value ELSE 0 END) AS buy, sum(CASE WHEN event_type IN ('click', 'purchase', 'signup') THEN 0 ELSE value END) AS sell
+         FROM events GROUP BY 1)
        SELECT epoch_us(ts) AS ts_us, round(buy, 2) AS buy, round(sell, 2) AS sell,
          CASE WHEN buy + sell = 0 THEN 0 ELSE round((buy - sell) / (buy + sell), 6) END AS imbalance FROM f""",
 )

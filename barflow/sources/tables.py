@@ -91,17 +91,16 @@ def order_book(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+BUYS = ("click", "purchase", "signup")
+
+
 def trade_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Clicks as buys, views as sells, on one market-wide symbol."""
-    return (
-        table(spark, sf_dir, "events")
-        .where(F.col("event_type").isin("click", "view"))
-        .select(
-            F.lit("MKT").alias("symbol"),
-            utc("ts").alias("ts"),
-            F.when(F.col("event_type") == "click", F.lit("buy")).otherwise(F.lit("sell")).alias("side"),
-            F.col("value").alias("size"),
-        )
+    """Events as trades of one market-wide symbol: ``BUYS`` are buys, all others sells."""
+    return table(spark, sf_dir, "events").select(
+        F.lit("MKT").alias("symbol"),
+        utc("ts").alias("ts"),
+        F.when(F.col("event_type").isin(*BUYS), F.lit("buy")).otherwise(F.lit("sell")).alias("side"),
+        F.col("value").alias("size"),
     )
 
 
