@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barflow.config import LAYOUT, Layout
-from barflow.operators.series import DAY_US, Measure, chunk_running, running
+from barflow.operators.series import DAY_US, Measure, chunk_running, join_per_key, running
 
 
 def asof_backward(
@@ -86,7 +86,7 @@ def fill_both_ways(indexed: DataFrame, columns: Sequence[str], layout: Layout =
     firsts = indexed.groupBy("symbol").agg(
         *[F.min_by(c, F.when(F.col(c).isNotNull(), F.col("bar_idx"))).alias(f"_b_{c}") for c in columns]
     )
-    out = out.join(firsts, "symbol", "left")
+    out = join_per_key(out, firsts, ["symbol"], how="left")
     return out.withColumns({c: F.coalesce(F.col(f"_f_{c}.v"), F.col(f"_b_{c}")) for c in columns}).drop(
         *[f"{p}{c}" for c in columns for p in ("_f_", "_b_")]
     )

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from barflow.config import LAYOUT, RESEARCH, Layout
 from barflow.operators.quantiles import exact_quantiles
-from barflow.operators.series import LocalOp, apply_local
+from barflow.operators.series import LocalOp, apply_local, join_per_key
 
 EPS = 1e-6
 
@@ -40,8 +40,7 @@ def psi(
     edges = bin_edges(samples.where(F.col(is_reference)), value, keys, bins)
     all_keys = samples.groupBy(*keys).agg(F.lit(1).alias("_one"))
     counted = (
-        samples.where(F.col(value).isNotNull())
-        .join(edges, keys)
+        join_per_key(samples.where(F.col(value).isNotNull()), edges, keys, value)
         .groupBy(*keys, bin_of(F.col(value), F.col("inner_edges")).alias("bin"))
         .agg(
             F.count_if(F.col(is_reference)).alias("p"),

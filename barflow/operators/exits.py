@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from barflow.operators.series import join_per_key
+
 FANOUT = 256
 
 
@@ -83,11 +85,8 @@ def exit_join(
     )
     bars = indexed.select(*keys, F.col("bar_idx").alias("exit_idx"), F.col("ts").alias("exit_time"), F.col("low").alias("_low"))
     last = indexed.groupBy(*keys).agg(F.max("bar_idx").alias("_last"))
-    out = (
-        positions.join(found, [*keys, "position_id"], "left")
-        .join(bars, [*keys, "exit_idx"], "left")
-        .join(last, keys)
-    )
+    met = positions.join(found, [*keys, "position_id"], "left").join(bars, [*keys, "exit_idx"], "left")
+    out = join_per_key(met, last, keys, "entry_idx")
     stopped = F.col("_low") <= F.col("sl_price")
     closed = F.col("exit_idx").isNotNull()
     return out.withColumns(

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from barflow.config import LAYOUT, Layout
-from barflow.operators.series import Measure, exclusive_scan
+from barflow.operators.series import Measure, exclusive_scan, join_per_key
 
 SPLITS = 255
 
@@ -33,7 +33,7 @@ def exact_quantiles(
     grid = F.array(*[F.lit((k + 1) / (SPLITS + 1)) for k in range(SPLITS)])
     splits = rows.groupBy(*keys).agg(F.percentile_approx("_v", grid, 10_000).alias("_splits"))
     splits = splits.withColumn("_splits", F.array_distinct("_splits"))
-    placed = rows.join(splits, keys).withColumn(
+    placed = join_per_key(rows, splits, keys, "_v").withColumn(
         "_part", F.size(F.filter("_splits", lambda s: s <= F.col("_v"))).cast("bigint")
     ).drop("_splits")
     sizes = placed.groupBy(*keys, "_part").agg(F.count(F.lit(1)).alias("n"))

@@ -160,10 +160,24 @@ def index_bars(
     )
 
 
+SALTS = 64
+
+
+def join_per_key(df: DataFrame, per_key: DataFrame, keys: Sequence[str], spread_by: Column | str = "bar_idx", how: str = "inner") -> DataFrame:
+    """Join ``per_key`` (one row per key) to the rows of ``df`` without bringing a key's rows together.
+
+    A key's rows are dealt over ``SALTS`` parts by ``spread_by`` and its one row is copied to each of them.
+    """
+    by = F.col(spread_by) if isinstance(spread_by, str) else spread_by
+    salted = df.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int"))
+    copies = per_key.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return salted.join(copies, [*keys, "_salt"], how).drop("_salt")
+
+
 def with_length(indexed: DataFrame, keys: Sequence[str] = ("symbol",), name: str = "n_bars") -> DataFrame:
     """Attach the series length; one pre-aggregated row per key joins back."""
     lengths = indexed.groupBy(*keys).agg((F.max("bar_idx") + 1).alias(name))
-    return indexed.join(lengths, list(keys))
+    return join_per_key(indexed, lengths, list(keys))
 
 
 # --------------------------------------------------------------------------- chunks with halo

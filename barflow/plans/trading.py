@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from barflow.config import LIVE
 from barflow.functions import microstructure, risk, signals, sizing
 from barflow.operators import barriers, exits, features, portfolio, reconcile, trades
-from barflow.operators.series import apply_local
+from barflow.operators.series import apply_local, join_per_key
 from barflow.plans.registry import query, r, us
 from barflow.plans.sqlparts import BARS, FEATURES, live_labels, with_
 from barflow.session import cut_lineage
@@ -41,7 +41,7 @@ def scored_rows(spark, sf_dir):
     rows = frame.where(F.col("norm_rsi").isNotNull()).withColumns(
         {"p_tp": F.col("norm_rsi"), "p_sl": 0.5 * (1.0 - F.col("norm_rsi"))}
     )
-    return rows.join(meta, "symbol")
+    return join_per_key(rows, meta, ["symbol"])
 
 
 def signal_rows(spark, sf_dir):
@@ -286,7 +286,7 @@ def all_positions(spark, sf_dir, assume_warm=False):
     meta = frame.groupBy("symbol").agg(F.count_if(counted).alias("trained_rows"))
     if assume_warm:
         meta = meta.withColumn("trained_rows", F.greatest("trained_rows", F.lit(LIVE.min_warmup_rows)))
-    rows = frame.where(F.col("norm_rsi").isNotNull()).join(meta, "symbol")
+    rows = join_per_key(frame.where(F.col("norm_rsi").isNotNull()), meta, ["symbol"])
     columns = signals.signal_columns(
         F.col("close"), F.col("atr"), F.col("norm_rsi"), 0.5 * (1.0 - F.col("norm_rsi")), F.col("trained_rows")
     )
