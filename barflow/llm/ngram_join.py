@@ -4,8 +4,7 @@ A document is its set of word shingles. Shingles are ordered by how many sets ho
 Jaccard similarity share a shingle among the first few of both, so only these prefixes are joined; a set whose prefix is
 all its own has no partner and is dismissed before any join.
 
-Frequencies of all shingles are counted on packed blocks: a task sends one row of bytes for each bucket of shingles instead
-of one row for each shingle. Equal sets are one set throughout.
+Frequencies of all shingles are counted on packed blocks (``screens``). Equal sets are one set throughout.
 """
 
 from __future__ import annotations
@@ -15,15 +14,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from barflow.llm.components import components
+from barflow.llm.screens import shared_tokens
 from barflow.llm.words import LOWER, NOT_SPACE, inner, mix, runs, signed, slices, spread, split_words, utf8
 from barflow.session import cut_lineage
 
 U64 = np.uint64
-_LOW = U64((1 << 48) - 1)
 
 
 @dataclass(frozen=True)
@@ -76,90 +75,25 @@ def fingerprints(docs: DataFrame, k: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n_shingles long, set long")
 
 
-def _pack(k: int, buckets: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches):
-            doc, grams = shingle_sets(*utf8(part.column("text")), k)
-            if not len(grams):
-                continue
-            size, digest = _digests(doc, grams, len(part))
-            bucket = ((grams >> U64(32)) * U64(buckets) >> U64(32)).astype(np.uint16)
-            order = np.argsort(bucket, kind="stable")
-            bucket, doc, tokens = bucket[order], doc[order], np.ascontiguousarray((grams[order] & _LOW)[:, None].view(np.uint8)[:, :6])
-            ends = np.searchsorted(bucket, np.arange(buckets + 1))
-            out = []
-            for b in range(buckets):
-                low, high = ends[b], ends[b + 1]
-                if low == high:
-                    continue
-                own, counts = np.unique(doc[low:high], return_counts=True)
-                out.append((b, digest[own].tobytes(), size[own].astype(np.int32).tobytes(), counts.astype(np.int32).tobytes(), tokens[low:high].tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), [pa.int32(), *[pa.binary()] * 4], strict=True)], ["bucket", "sets", "sizes", "counts", "tokens"])
+def _set_tokens(k: int):
+    def run(part: pa.RecordBatch):
+        doc, grams = shingle_sets(*utf8(part.column("text")), k)
+        size, digest = _digests(doc, grams, len(part))
+        return digest.view(np.int64), size, doc, grams
 
     return run
 
 
-def _count_bucket(bucket: int, rows: list[dict]) -> pa.RecordBatch:
-    """The shared shingles of each set in one bucket, and how many sets hold each."""
-    sets = np.concatenate([np.frombuffer(r["sets"], np.int64) for r in rows])
-    sizes = np.concatenate([np.frombuffer(r["sizes"], np.int32) for r in rows])
-    counts = np.concatenate([np.frombuffer(r["counts"], np.int32) for r in rows]).astype(np.int64)
-    raw = np.concatenate([np.frombuffer(r["tokens"], np.uint8) for r in rows]).reshape(-1, 6)
-    wide = np.zeros((len(raw), 8), np.uint8)
-    wide[:, :6] = raw
-    tokens = wide.view(np.int64).ravel() | (bucket << 48)
-    del raw, wide
-    starts = np.cumsum(counts) - counts
-    sets, first = np.unique(sets, return_index=True)  # copies count once
-    sizes, counts = sizes[first], counts[first]
-    tokens = tokens[spread(starts[first], counts)]
-    order = np.argsort(tokens)
-    ranked = tokens[order]
-    edge = np.flatnonzero(np.concatenate(([True], ranked[1:] != ranked[:-1], [True])))
-    df = np.empty(len(tokens), np.int32)
-    df[order] = np.repeat(np.diff(edge), np.diff(edge))
-    shared = df > 1
-    held = np.concatenate(([0], np.cumsum(shared)))
-    ends = np.cumsum(counts)
-    bounds = held[np.concatenate(([0], ends))]
-    some = np.flatnonzero(np.diff(bounds))
-    offsets = pa.array(np.concatenate(([0], bounds[1:][some])).astype(np.int32))
-    return pa.RecordBatch.from_arrays(
-        [pa.array(sets[some]), pa.array(sizes[some]), pa.ListArray.from_arrays(offsets, pa.array(tokens[shared])), pa.ListArray.from_arrays(offsets, pa.array(df[shared]))],
-        ["set", "n", "tokens", "dfs"],
-    )
-
-
-def _count_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come by bucket; one bucket is held at a time."""
-    held: list[dict] = []
-    for batch in batches:
-        for row in batch.to_pylist():
-            if held and row["bucket"] != held[0]["bucket"]:
-                yield _count_bucket(held[0]["bucket"], held)
-                held = []
-            held.append(row)
-    if held:
-        yield _count_bucket(held[0]["bucket"], held)
-
-
 def shared_shingles(docs: DataFrame, like: Likeness) -> DataFrame:
-    """set, n, tokens, dfs: of the sets that may have a partner, the shingles that other sets hold too, rarest first.
+    """set, n, tokens, own: of the sets that may have a partner, the shingles that other sets hold too, rarest first.
 
-    A bucket holds a range of hashes, and the number of buckets follows ``spark.sql.shuffle.partitions``.
+    ``own``: how many shingles no other set holds. Equal sets count once.
     """
-    spark = docs.sparkSession
-    buckets = min(65535, max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // 2))
-    packed = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(_pack(like.k, buckets), "bucket int, sets binary, sizes binary, counts binary, tokens binary")
-    replies = packed.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_count_buckets, "set long, n int, tokens array<long>, dfs array<int>")
-    whole = replies.groupBy("set").agg(
-        F.max("n").alias("n"), F.sum(F.size("tokens")).cast("int").alias("common"), F.flatten(F.collect_list(F.arrays_zip("dfs", "tokens"))).alias("both")
-    )
+    told = shared_tokens(docs.select(F.col("text").cast("string").alias("text")), _set_tokens(like.k), once=True)
     # a set with enough shingles of its own has a prefix that nobody shares
-    own = F.col("n") - F.col("common")
+    own = F.col("n") - F.size("tokens")
     p = F.col("n") - F.floor((F.lit(like.percent) * F.col("n") + 99) / 100) + 1
-    able = whole.filter(own < p).withColumn("both", F.array_sort("both"))
-    return able.select("set", "n", F.col("both.tokens").alias("tokens"), own.alias("own"))
+    return told.filter(own < p).select(F.col("owner").alias("set"), "n", "tokens", own.alias("own"))
 
 
 def _prefixes(like: Likeness):
@@ -178,8 +112,9 @@ def _prefixes(like: Likeness):
             at = spread(bounds[:-1], counts)
             row = np.repeat(np.arange(len(batch)), counts)
             pos = at - bounds[:-1][row] + own[row] + 1
+            rank = pos - own[row]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(tokens[at]), pa.array(ids[row]), pa.array(n[row].astype(np.int32)), pa.array(pos.astype(np.int32)), pa.array(sketch[row])], ["token", "set", "n", "pos", "sketch"]
+                [pa.array(tokens[at]), pa.array(ids[row]), *(pa.array(x.astype(np.int32)) for x in (n[row], pos, rank)), pa.array(sketch[row])], ["token", "set", "n", "pos", "rank", "sketch"]
             )
 
     return run
@@ -188,7 +123,8 @@ def _prefixes(like: Likeness):
 def _filters(like: Likeness) -> str:
     """Length, positional and suffix filter for a pair that shares a prefix token.
 
-    The suffix filter parts both sets by the same eight classes of tokens; the smaller counts bound the overlap. A class
+    Up to the token, only the shingles that other sets hold too can be common: their number is the token's ``rank``. Behind
+    it, the shorter rest bounds the overlap. The suffix filter parts both sets by the same eight classes of tokens; the smaller counts bound the overlap. A class
     that holds 255 or more is unbounded here.
     """
     need = f"{like.percent} * (a_n + b_n)"  # overlap >= need / (100 + percent)
@@ -198,13 +134,16 @@ def _filters(like: Likeness) -> str:
     full = 100 + like.percent
     return (
         f"100 * least(a_n, b_n) >= {like.percent} * greatest(a_n, b_n)"
-        f" AND {full} * (least(a_pos, b_pos) + least(a_n - a_pos, b_n - b_pos)) >= {need}"
+        f" AND {full} * (least(a_rank, b_rank) + least(a_n - a_pos, b_n - b_pos)) >= {need}"
         f" AND {full} * ({parts}) >= {need}"
     )
 
 
+_POSTING = ("set", "n", "pos", "rank", "sketch", "comp")
+
+
 def _side(rows: DataFrame, name: str) -> DataFrame:
-    return rows.select("token", *(F.col(c).alias(f"{name}_{c}") for c in ("set", "n", "pos", "sketch", "comp")))
+    return rows.select("token", *(F.col(c).alias(f"{name}_{c}") for c in _POSTING))
 
 
 def verify(pairs: DataFrame, sets: DataFrame, like: Likeness) -> DataFrame:
@@ -215,36 +154,37 @@ def verify(pairs: DataFrame, sets: DataFrame, like: Likeness) -> DataFrame:
     return pairs.join(a, "a").join(b, "b").filter(common * (100 + like.percent) >= like.percent * (F.col("a_n") + F.col("b_n"))).select("a", "b")
 
 
-def link_sets(sets: DataFrame, like: Likeness, stars: int = 3) -> DataFrame:
+def link_sets(sets: DataFrame, like: Likeness, stars: int = 3, tries: int = 3) -> DataFrame:
     """(node, component) over the sets that link; sets without a link are left out.
 
-    Star rounds compare the members of a posting list with one of them, which ties most groups of near copies together;
-    in the end all pairs of a list that are not tied yet are compared. Pairs inside a component cannot change it, so no
-    link between components is lost, and a large group of near copies costs one comparison per member.
+    In a star round every posting list has a lead, and each set is compared with the few leads it meets most often; this
+    ties most groups of near copies together at a fixed number of comparisons per set. In the end all pairs of a list that
+    are not tied yet and pass the filters are compared. Pairs inside a component cannot change it, so no link between
+    components is lost.
     """
-    postings = cut_lineage(sets.mapInArrow(_prefixes(like), "token long, set long, n int, pos int, sketch long"))
+    postings = cut_lineage(sets.mapInArrow(_prefixes(like), "token long, set long, n int, pos int, rank int, sketch long"))
     links, comps = None, None
     for turn in range(stars + 1):
         rows = postings.withColumn("comp", F.col("set")) if comps is None else (
             postings.join(comps.withColumnRenamed("node", "set"), "set", "left").withColumn("comp", F.coalesce("component", "set")).drop("component")
         )
-        lists = rows.groupBy("token").agg(
-            F.min_by(F.struct("set", "n", "pos", "sketch", "comp"), F.xxhash64("comp", F.lit(turn))).alias("lead"), F.min("comp").alias("low"), F.max("comp").alias("high")
-        ).filter("low <> high")
+        # leads are central: most of their shingles are shared; later rounds ask other components first
+        central = F.struct(F.xxhash64("comp", F.lit(turn)) if turn else F.lit(0), (F.col("pos") - F.col("rank")) / F.col("n"), F.xxhash64("set"))
+        lists = rows.groupBy("token").agg(F.min_by(F.struct(*_POSTING), central).alias("lead"), F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high")
         if turn < stars:
-            lead = lists.select("token", *(F.col(f"lead.{c}").alias(f"a_{c}") for c in ("set", "n", "pos", "sketch", "comp")))
-            met = _side(rows, "b").join(lead, "token").filter("a_comp <> b_comp")
+            lead = lists.select("token", *(F.col(f"lead.{c}").alias(f"a_{c}") for c in _POSTING))
+            met = _side(rows, "b").join(lead, "token").filter("a_comp <> b_comp").filter(_filters(like)).groupBy("a_set", "b_set").agg(F.count("*").alias("times"))
+            best = F.row_number().over(Window.partitionBy("b_set").orderBy(F.desc("times"), "a_set"))
+            met = met.withColumn("best", best).filter(F.col("best") <= tries)
         else:
             rows = cut_lineage(rows.join(lists.select("token"), "token", "left_semi"))
-            met = _side(rows, "b").join(_side(rows, "a"), "token").filter("a_comp < b_comp")
-        pairs = met.filter(_filters(like)).select(F.least("a_set", "b_set").alias("a"), F.greatest("a_set", "b_set").alias("b")).distinct()
+            met = _side(rows, "b").join(_side(rows, "a"), "token").filter("a_comp < b_comp").filter(_filters(like))
+        pairs = met.select(F.least("a_set", "b_set").alias("a"), F.greatest("a_set", "b_set").alias("b")).distinct()
         found = cut_lineage(verify(pairs, sets, like))
         if found.isEmpty():
-            if turn < stars:
-                continue
-            break
+            continue
         links = found if links is None else links.unionByName(found)
-        comps = cut_lineage(components(links))
+        comps = components(links)
         links = comps.select(F.col("node").alias("a"), F.col("component").alias("b")).filter("a <> b")
     return comps if comps is not None else postings.sparkSession.createDataFrame([], "node long, component long")
 

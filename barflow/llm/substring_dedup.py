@@ -246,8 +246,7 @@ def repeats(docs: DataFrame, p: Repeats = Repeats()) -> DataFrame:
     ``owner`` is ``xxhash64(doc_id, text)``.
     """
     rows = _named(docs).select("owner", "text")
-    told = shared_tokens(rows, _anchors(p), once=False)
-    lists = told.groupBy("owner").agg(F.flatten(F.collect_list("tokens")).alias("tokens"), F.flatten(F.collect_list("counts")).alias("counts"))
+    lists = shared_tokens(rows, _anchors(p), once=False).select("owner", "tokens", "counts")
     buckets = buckets_of(docs.sparkSession)
     planted = rows.join(lists, "owner").mapInArrow(_plant(p, buckets), "key long, words binary, owners array<long>, firsts array<int>")
     return planted.repartition("key").sortWithinPartitions("key", "words").mapInArrow(_trees(p), "owner long, first int, mask long").distinct()
