@@ -21,7 +21,6 @@ from pyspark.sql import functions as F
 
 from barflow.llm.screens import buckets_of, shared_tokens, token_ids
 from barflow.llm.words import Words, inner, mix, runs, slices, split_words, spread, utf8
-from barflow.session import cut_lineage
 
 U64 = np.uint64
 
@@ -243,13 +242,15 @@ def _clean(p: Repeats):
 def repeats(docs: DataFrame, p: Repeats = Repeats()) -> DataFrame:
     """owner, first, mask: windows that occur more than once; bit i of a mask is the window that starts at word first + i.
 
+    Rows that repeat a doc_id and its text say the same twice.
+
     ``owner`` is ``xxhash64(doc_id, text)``.
     """
     rows = _named(docs).select("owner", "text")
     lists = shared_tokens(rows, _anchors(p), once=False).select("owner", "tokens", "counts")
     buckets = buckets_of(docs.sparkSession)
     planted = rows.join(lists, "owner").mapInArrow(_plant(p, buckets), "key long, words binary, owners array<long>, firsts array<int>")
-    return planted.repartition("key").sortWithinPartitions("key", "words").mapInArrow(_trees(p), "owner long, first int, mask long").distinct()
+    return planted.repartition("key").sortWithinPartitions("key", "words").mapInArrow(_trees(p), "owner long, first int, mask long")
 
 
 def _named(docs: DataFrame) -> DataFrame:
@@ -264,7 +265,6 @@ def substring_dedup(docs: DataFrame, p: Repeats = Repeats()) -> DataFrame:
     same text too. Texts shorter than a window lose nothing; null counts as empty. Rows that repeat a doc_id and its text
     are copies of each other, so they lose all windows. Other columns are not looked at.
     """
-    found = cut_lineage(repeats(docs, p))
-    lists = found.groupBy("owner").agg(F.collect_list(F.struct("first", "mask")).alias("found"))
+    lists = repeats(docs, p).groupBy("owner").agg(F.collect_set(F.struct("first", "mask")).alias("found"))
     rows = _named(docs).join(lists, "owner", "left").select("doc_id", "text", F.coalesce("found", F.expr("CAST(array() AS array<struct<first:int,mask:bigint>>)")).alias("found"))
     return rows.mapInArrow(_clean(p), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
