@@ -23,16 +23,21 @@ def purged_folds(indexed: DataFrame, n_splits: int = 5, embargo: int = 0, keys:
     if embargo < 0:
         raise ValueError("embargo must be >= 0")
     sized = with_length(indexed.select(*keys, "bar_idx"), keys)
+    folds = F.explode(F.sequence(F.lit(0), F.lit(n_splits - 1))).alias("fold")
+    role = fold_role(F.col("fold"), n_splits, embargo).alias("role")
+    return sized.select(*keys, "bar_idx", "n_bars", folds).select(*keys, "bar_idx", "fold", role)
+
+
+def fold_role(fold: Column, n_splits: int, embargo: int = 0) -> Column:
+    """Role of a row in a fold: test, embargo or train; needs ``bar_idx`` and ``n_bars``."""
     block = F.floor(F.col("n_bars") / n_splits)
-    begin = F.col("fold") * block
-    stop = F.when(F.col("fold") == n_splits - 1, F.col("n_bars")).otherwise(begin + block)
-    role = (
+    begin = fold * block
+    stop = F.when(fold == n_splits - 1, F.col("n_bars")).otherwise(begin + block)
+    return (
         F.when((F.col("bar_idx") >= begin) & (F.col("bar_idx") < stop), "test")
         .when((F.col("bar_idx") >= stop) & (F.col("bar_idx") < stop + embargo), "embargo")
         .otherwise("train")
     )
-    folds = F.explode(F.sequence(F.lit(0), F.lit(n_splits - 1))).alias("fold")
-    return sized.select(*keys, "bar_idx", "n_bars", folds).select(*keys, "bar_idx", "fold", role.alias("role"))
 
 
 def fold_of_row(n_splits: int) -> Column:

@@ -51,25 +51,25 @@ def _fit_forest(train, test, params):
 
 @query("m3_purged_cv")
 def purged_cv(spark, sf_dir):
-    return validate.nested_purged_cv(labelled(spark, sf_dir), _fit_forest, 3, 5)
+    return validate.nested_purged_cv(labelled(spark, sf_dir), _fit_forest, 5, 5)
 
 
 @query("m4_estimator_grid")
 def estimator_grid(spark, sf_dir):
-    return validate.parameter_grid(labelled(spark, sf_dir), {"depth": [2, 4]}, _fit_forest, 2, 5)
+    return validate.parameter_grid(labelled(spark, sf_dir), {"depth": [2, 4]}, _fit_forest, 5, 5)
 
 
 @query("m6_permutation_importance")
 def permutation_importance(spark, sf_dir):
     rows = labelled(spark, sf_dir)
     model = signal.train(rows, estimator=signal.forest(TREES))
-    return importance.permutation_importance(model, rows, n_repeats=3)
+    return importance.permutation_importance(model, rows, n_repeats=5)
 
 
 @query("k3_top_features")
 def top_features(spark, sf_dir):
     rows = labelled(spark, sf_dir)
-    kept, scores = importance.prune_features(rows, FEATURES, lambda: signal.forest(TREES), keep=2, n_repeats=2)
+    kept, scores = importance.prune_features(rows, FEATURES, lambda: signal.forest(TREES), keep=2, n_repeats=5)
     return scores.withColumn("kept", F.col("feature").isin(*kept))
 
 
