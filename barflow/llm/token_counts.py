@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barflow.llm.words import slices
+from barflow.session import cut_lineage
 
 #: Fixed value: how byte-level BPE cuts a text before merging.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -94,7 +95,8 @@ class Rollup:
                 changes = changes.withColumn(name, F.lit(None).cast(kind))
         rank = F.struct(F.coalesce("seq", F.lit(0)).alias("seq"), "tokens", "source", "lang", "op")
         rows = changes.filter("op IN ('insert', 'revise', 'delete') AND doc_id IS NOT NULL").select("op", F.col("doc_id").cast("long").alias("doc_id"), "source", "lang", F.coalesce("version", F.lit("")).alias("version"), F.coalesce("tokens", F.lit(0)).cast("long").alias("tokens"), "seq")
-        last = rows.groupBy("doc_id", "version").agg(F.max(rank).alias("x")).select("doc_id", "version", "x.op", "x.source", "x.lang", "x.tokens")
+        # written once: counting tokens is the work here, and both signs need the changes
+        last = cut_lineage(rows.groupBy("doc_id", "version").agg(F.max(rank).alias("x")).select("doc_id", "version", "x.op", "x.source", "x.lang", "x.tokens"))
         old = self.state().join(last.select("doc_id", "version"), ["doc_id", "version"], "left_semi")
         minus = old.select("doc_id", *KEY, "tokens", F.lit(-1).alias("sign"))
         plus = last.filter("op <> 'delete'").select("doc_id", *KEY, "tokens", F.lit(1).alias("sign"))
