@@ -125,6 +125,16 @@ def test_pii_base_spans(spark):
     assert got == {i: base_spans(t or "") for i, t in enumerate(texts)}
 
 
+def test_pii_zero_octets(spark):
+    rng = random.Random(12)
+    named = ["10.0.0.1", "127.0.0.1", "192.168.0.1", "0.0.0.0", "1.2.3.000", "000.00.0.0", "0255.0.0.1", "0256.0.0.1", "00000.1.1.256", "8.8.8.8"]
+    octet = ["0", "00", "000", "1", "010", "0255", "256", "99"]
+    texts = named + [f"at {x}, or {x}.5" for x in named] + [" ".join(".".join(rng.choice(octet) for _ in range(rng.randint(3, 9))) for _ in range(4)) for _ in range(80)]
+    got = {r.doc_id: [(x.kind, x.start, x.end) for x in r.spans if x.base] for r in pii.personal_data(docs_of(spark, texts)).collect()}
+    assert got == {i: base_spans(t) for i, t in enumerate(texts)}
+    assert [bool(got[i]) for i in range(len(named))] == [True] * 7 + [False, False, True]
+
+
 def test_pii_checksums_and_context(spark):
     texts = ["pay to DE89 3704 0044 0532 0130 00 now", "DE88 3704 0044 0532 0130 00", "my ssn 123-45-6789", "code 123-45-6789", "mail me: a@b.cd"]
     got = [[(x.kind, x.value, round(x.score, 1)) for x in r.spans] for r in pii.personal_data(docs_of(spark, texts)).orderBy("doc_id").collect()]
