@@ -141,6 +141,19 @@ def test_pii_checksums_and_context(spark):
     assert got == [[("iban", "DE89 3704 0044 0532 0130 00", 0.7)], [], [("ssn", "123-45-6789", 0.6)], [], [("email", "a@b.cd", 1.0)]]
 
 
+def test_pii_ibans_and_what_follows(spark):
+    known = ["DE89 3704 0044 0532 0130 00", "DE89370400440532013000", "GB29 NWBK 6016 1331 9268 19", "NO93 8601 1117 947", "FR14 2004 1010 0505 0001 3M02 606", "MT84MALT011000012345MTLCAST001S", "XX46 3704 0044 0532 0130 00"]
+    after = ["", " Now pay", " Please", " 12 May", ", ok", " now", "\n5"]
+    texts = [f"pay {k}{a}" for k in known for a in after] + [f"pay {k}{a}" for k in known[:6] for a in (" BIC COBADEFFXXX", " 2024", " AND MORE CAPITALS 77", f" {known[0]}")]
+    texts += [f"pay {known[6]} {known[0]}", "pay ZZ42 " + known[0]]
+    more = ["DE89 3704 0044 0532 0130 001", "DE89 3704 0044 0532 0130 0", "DE88 3704 0044 0532 0130 00 Now", "xDE89370400440532013000", "DE89370400440532013000x"]
+    rows = pii.personal_data(docs_of(spark, texts + more)).orderBy("doc_id").collect()
+    got = [[(x.value, x.start) for x in r.spans if x.kind == "iban"] for r in rows]
+    assert [g[0] if g else None for g in got[: len(texts) - 2]] == [(k, 4) for k in known for _ in after] + [(k, 4) for k in known[:6] for _ in range(4)]
+    assert [g[-1][0] for g in got[len(texts) - 2 : len(texts)]] == [known[0]] * 2 and len(got[len(texts) - 2]) == 2
+    assert got[len(texts) :] == [[]] * 5
+
+
 def test_toxicity_learns_and_keeps_held_out_rows_apart(spark):
     rng = random.Random(2)
     plain = [f"n{i}" for i in range(300)]
