@@ -20,7 +20,9 @@ from pyspark.sql import functions as F
 from barflow.llm.words import slices
 
 # Element names of the HTML standard by role.
-RAW = "script style noscript template textarea svg iframe object select button title".split()
+RAW = "script style textarea title".split()
+#: Elements without text of the page. One that is not closed ends at the next block's tag.
+HIDDEN = "noscript template svg iframe object select button".split()
 BLOCK = set(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header "
     "hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
@@ -37,11 +39,14 @@ NOISE_NAMES = set(
 )
 CONTENT_NAMES = set("article post entry content story body main".split())
 
+_ATTRS = r"(?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+"
+_SKIPPED = r"<!--.*?(?:-->|\Z)|<(?P<raw>" + "|".join(RAW) + rf")(?=[\s/>]){_ATTRS}>.*?(?:</(?P=raw)\s*>|\Z)"
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(?P<raw>" + "|".join(RAW) + r")\b(?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*+)(?P<attrs>(?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+)>|<[!?/][^>]*+>?|(?P<text>[^<]++|<)",
+    _SKIPPED + rf"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*+)(?P<attrs>{_ATTRS})>|<[!?/][^>]*+>?|(?P<text>[^<]++|<)",
     re.S | re.I,
 )
+_HIDDEN = re.compile(_SKIPPED + rf"|<(?P<end>/?)(?P<tag>{'|'.join(HIDDEN)})(?=[\s/>])(?P<attrs>{_ATTRS})>|<[a-zA-Z/]{_ATTRS}>", re.S | re.I)
+_SOME_HIDDEN = re.compile(rf"<(?:{'|'.join(HIDDEN)})\b", re.I)
 _NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 
 
@@ -79,6 +84,29 @@ class _Element:
     noise: float = 0.0
     content: bool = False
     parts: list = field(default_factory=list)
+    #: Noise by an element that is no main text whatever it holds, or by a name that is nothing but noise.
+    firm: bool = False
+    plain: bool = False
+    #: 1 in an article, 2 in main.
+    depth: int = 0
+
+
+def _hidden(page: str) -> dict[int, int]:
+    """Start of each hidden element that is closed: its end."""
+    ends: dict[int, int] = {}
+    if _SOME_HIDDEN.search(page):
+        opened: dict[str, list[int]] = {tag: [] for tag in HIDDEN}
+        for m in _HIDDEN.finditer(page):
+            if m["tag"] is None:
+                continue
+            starts = opened[m["tag"].lower()]
+            if m["attrs"].endswith("/") and not m["end"]:
+                ends[m.start()] = m.end()
+            elif not m["end"]:
+                starts.append(m.start())
+            elif starts:
+                ends[starts.pop()] = m.end()
+    return ends
 
 
 def blocks(page: str, costs: Costs = Costs()) -> list[Block]:
@@ -104,9 +132,14 @@ def blocks(page: str, costs: Costs = Costs()) -> list[Block]:
                 state["links"] -= 1
             stack.pop()
 
+    ends, shown, cut_off = _hidden(page), 0, False
     for m in _TOKEN.finditer(page):
+        if m.start() < shown:
+            continue
         text = m["text"]
         if text is not None:
+            if cut_off:
+                continue
             text = html.unescape(text) if "&" in text else text
             held.append(text)
             if state["links"]:
@@ -114,10 +147,19 @@ def blocks(page: str, costs: Costs = Costs()) -> list[Block]:
             continue
         tag = m["tag"]
         if tag is None:
-            if m["raw"] and m["raw"].lower() in ("title", "textarea", "iframe"):
+            if m["raw"] and m["raw"].lower() in ("title", "textarea"):
                 flush()
             continue
         tag = tag.lower()
+        if tag in HIDDEN:
+            if tag == "iframe":
+                flush()
+            if not m["end"]:
+                shown = ends.get(m.start(), 0)
+                cut_off = cut_off or not shown
+            continue
+        if tag in BLOCK:
+            cut_off = False
         if tag == "br":
             held.append(" ")
             continue
@@ -137,21 +179,29 @@ def blocks(page: str, costs: Costs = Costs()) -> list[Block]:
             if at and not between - {"p"}:
                 close(at)
         top = stack[-1]
-        noise, content = top.noise, top.content
-        if tag in NOISE and not (tag == "header" and content):
-            noise = costs.noise
+        noise, content, firm, plain, depth = top.noise, top.content, top.firm, top.plain, top.depth
         if tag in CONTENT:
             content = True
+            level = 1 + (tag == "main")
+            # what wrappers are called says nothing of the main text; within main, a plain noise name still does
+            if level > depth and (level == 2 or not firm) or level == 1 and not firm and not plain:
+                noise, firm, plain = 0.0, False, False
+            depth = max(depth, level)
+        if tag in NOISE and not (tag == "header" and content):
+            noise, firm = costs.noise, firm or tag != "form"
         if m["attrs"] and "=" in m["attrs"]:
-            names = set(re.split(r"[^a-z0-9]+", " ".join("".join(g) for g in _NAMED.findall(m["attrs"])).lower()))
-            if names & NOISE_NAMES and tag not in ("body", "html"):
-                noise = costs.noise
+            named = ["".join(g).lower() for g in _NAMED.findall(m["attrs"])]
+            names = set(re.split(r"[^a-z0-9]+", " ".join(named)))
+            if names & NOISE_NAMES and tag not in ("body", "html", "main"):
+                parts = [set(re.split(r"[^a-z0-9]+", x)) for x in " ".join(named).split()]
+                if not any(x & CONTENT_NAMES and not x & NOISE_NAMES for x in parts):
+                    noise, plain = costs.noise, plain or any(x <= NOISE_NAMES for x in parts)
             elif names & CONTENT_NAMES and tag in BLOCK:
                 content = True
         if tag == "a":
             state["links"] += 1
         state["boxes"] += 1
-        stack.append(_Element(tag, state["boxes"], noise, content))
+        stack.append(_Element(tag, state["boxes"], noise, content, firm=firm, plain=plain, depth=depth))
     flush()
     return out
 

@@ -211,6 +211,30 @@ def test_page_text(spark):
     assert got == [(1, want), (1, want), (2, ""), (3, ""), (4, "Cut off in the mid"), (5, "")]
 
 
+LONG = " ".join(f"word{i}" for i in range(40)) + "."
+
+
+@pytest.mark.parametrize("opened", ['<div class="layout no-sidebar">', '<div class="article-body share-enabled">', '<div id="social-page">', "<div class=widget>", "<form id=aspnet>", '<div class="sidebar-left"><div role=navigation>'])
+@pytest.mark.parametrize("inner", ["<article>{}</article>", "<main>{}</main>", '<main class="has-sidebar"><div class="content-sidebar"><article class="post share-enabled">{}</article></div></main>'])
+def test_wrappers_do_not_silence_the_article(opened, inner):
+    text = f"<p>Short one here.</p><p>{LONG}</p>"
+    assert html_extract.main_text(f"<html><body>{opened}{inner.format(text)}<p>© 2020</p>") == f"Short one here.\n{LONG}"
+
+
+@pytest.mark.parametrize("page", ["<article>{}<div class='share-box'>{}</div></article>", "<main>{}<section id=comments><article>{}</article></section></main>", "<main>{}</main><aside><article>{}</article></aside>", "<article>{}</article><article class=comment>{}</article>"])
+def test_noise_found_inside_stays(page):
+    assert html_extract.main_text(page.format("<p>The story.</p>", "<p>Not a part of it.</p>")) == "The story."
+
+
+@pytest.mark.parametrize("tag", ["button", "select", "svg", "object", "noscript", "template", "iframe"])
+def test_unclosed_elements_do_not_swallow_the_page(tag):
+    for rest in ("", f"<{tag}>x</{tag}>", f"<!-- </{tag}> -->"):
+        assert html_extract.main_text(f"<article><p>One here.</p><{tag} class=x>Label<p>Two here.</p>{rest}<p>Three.</p></article>") == "One here.\nTwo here.\nThree."
+    assert html_extract.main_text(f"<article><p>One <{tag}><b>x</b><{tag}>y</{tag}><p>z</p></{tag}>more.</p><{tag} a='b'/><p>Two.</p><{tag}-x><p>Three.</p>").replace("One\nmore", "One more") == "One more.\nTwo.\nThree."
+    assert html_extract.main_text(f"<article><p>One.</p><script><{tag}></script><style>x</article>") == "One."
+    assert html_extract.main_text("<article>" + f"<{tag}>x<p>Some.</p>" * 4000).count("\n") == 3999
+
+
 def test_long_pages_stay_linear():
     page = "<article>" + "<p>Some words stand here.</p><nav>x</nav>" * 4000 + "</article>"
     assert html_extract.main_text(page).count("\n") == 3999
