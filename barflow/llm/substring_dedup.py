@@ -2,8 +2,9 @@
 
 Only suffixes that begin at anchors are planted: the anchor of a window is its smallest ``gram``-word run, so equal windows
 have their anchors at the same place. A suffix is dealt by a prefix: the anchor's words, and for frequent anchors a longer
-one. It takes along the words on either side that windows over the anchor can hold. Prefixes that occur once have no repeat
-and are dropped before any words are shuffled. The suffixes of a group are sorted by their first ``window`` words by
+one: the whole window, at which only identical windows meet. Those are counted by hash in the tasks that read them, so a
+window crosses at most once per task. Other suffixes take along the words on either side that windows over the anchor can
+hold. Prefixes that occur once have no repeat and are dropped before any words are shuffled. The suffixes of a group are sorted by their first ``window`` words by
 doubling ranks; internal nodes at that depth with several leaves are the repeats, and runs of them the maximal repeats.
 """
 
@@ -16,7 +17,7 @@ from itertools import compress
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from barflow.llm.screens import buckets_of, shared_tokens, token_ids
@@ -28,12 +29,14 @@ U64 = np.uint64
 @dataclass(frozen=True)
 class Repeats:
     """``window``: words of the shortest repeat. ``gram``: words of the shortest prefix. ``group``: occurrences of a prefix
-    from which longer ones deal its suffixes. ``batch``: words of which one tree is built at a time, whole groups."""
+    above which whole windows deal its suffixes. ``batch``: words of which one tree is built at a time, whole groups.
+    ``held``: anchors or windows that a task counts at a time."""
 
     window: int = 35
     gram: int = 8
     group: int = 20_000
     batch: int = 1_000_000
+    held: int = 1_000_000
 
 
 @dataclass
@@ -71,62 +74,130 @@ def segments(words: Words, hashes: np.ndarray, p: Repeats) -> Segments:
     return Segments(np.searchsorted(words.first, first, "right") - 1, first, n, anchor[starts], grams[anchor[starts]])
 
 
-def _anchors(p: Repeats):
-    def run(part: pa.RecordBatch):
-        words = split_words(*utf8(part.column("text")))
-        s = segments(words, words.hashes(), p)
-        order = np.argsort(s.doc, kind="stable")
-        return part.column("owner").to_numpy(), words.counts, s.doc[order], s.gram[order]
+def _within(grams: np.ndarray, hot: np.ndarray) -> np.ndarray:
+    """Which are among the sorted ``hot`` ones."""
+    if not len(hot):
+        return np.zeros(len(grams), bool)
+    return hot[np.minimum(np.searchsorted(hot, grams), len(hot) - 1)] == grams
+
+
+def _cold(s: Segments, hot: np.ndarray) -> Segments:
+    kept = ~_within(s.gram, hot)
+    return Segments(s.doc[kept], s.first[kept], s.n[kept], s.anchor[kept], s.gram[kept])
+
+
+def _counted(p: Repeats):
+    """How often anchors occur, by task, as far as more than once."""
+
+    def settle(held: list[np.ndarray]) -> pa.RecordBatch:
+        grams, n = np.unique(np.concatenate(held), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(grams[n > 1].view(np.int64)), pa.array(n[n > 1].astype(np.int64))], ["gram", "n"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        for part in slices(batches):
+            words = split_words(*utf8(part.column("text")))
+            held.append(segments(words, words.hashes(), p).gram)
+            if sum(map(len, held)) >= p.held:
+                yield settle(held)
+                held = []
+        if held:
+            yield settle(held)
 
     return run
 
 
-def _pieces(s: Segments, hashes: np.ndarray, count: np.ndarray, p: Repeats) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(segment, first, windows, key): segments of frequent prefixes are dealt by longer ones.
+def hot_anchors(rows: DataFrame, p: Repeats) -> np.ndarray:
+    """Anchors that occur more than ``group`` times, sorted; at most one in ``group`` of all, so the driver holds them.
 
-    Windows with at least half of their words after the anchor's start go by that half, the others by the half before it.
-    Equal windows have equal offsets and halves, so they meet.
+    Anchors that occur once in a task are not counted there, which leaves at most one more occurrence per task to the others.
     """
-    hot = count > p.group
-    which = np.arange(len(s.n))
-    key = mix(s.gram)
-    if not hot.any():
-        return which, s.first, s.n, key
-    half = p.window // 2
-    sides = runs(hashes, half)
-    ends = s.first + s.n
-    turn = np.clip(s.anchor - (p.window - half) + 1, s.first, ends)  # windows from here on have the half after the anchor
-    cold = np.flatnonzero(~hot)
-    before = np.flatnonzero(hot & (turn > s.first))
-    after = np.flatnonzero(hot & (turn < ends))
-    keys = [key[cold], mix(key[before] + sides[s.anchor[before] - half] + U64(1)), mix(key[after] + sides[s.anchor[after]] + U64(2))]
-    firsts = [s.first[cold], s.first[before], turn[after]]
-    counts = [s.n[cold], (turn - s.first)[before], (ends - turn)[after]]
-    return np.concatenate((cold, before, after)), np.concatenate(firsts), np.concatenate(counts), np.concatenate(keys)
+    counted = rows.mapInArrow(_counted(p), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).filter(F.col("n") > p.group)
+    return np.sort(np.array([r.gram for r in counted.select("gram").collect()], np.int64).view(U64))
+
+
+_WINDOW = ["one", "two", "owner", "first", "mask"]
+
+
+def _windows(p: Repeats, hot: np.ndarray):
+    """Windows over hot anchors by two hashes. Those that a task has several times are settled (``mask``) and one row without
+    a place (``first`` -1) tells others; only those that it has once go by their hashes."""
+
+    def settle(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        one, two, owner, first, start = (np.concatenate(x) for x in zip(*held, strict=True))
+        order = np.lexsort((two, one))
+        new = np.ones(len(order), bool)
+        new[1:] = (one[order][1:] != one[order][:-1]) | (two[order][1:] != two[order][:-1])
+        edge = np.append(np.flatnonzero(new), len(order))
+        n = np.empty(len(order), np.int64)
+        n[order] = np.repeat(np.diff(edge), np.diff(edge))
+        told = order[edge[:-1]][np.diff(edge) > 1]
+        alone, many = np.flatnonzero(n == 1), np.flatnonzero(n > 1)
+        # settled windows of one segment are one row
+        cuts = np.flatnonzero(np.append(True, (owner[many][1:] != owner[many][:-1]) | (start[many][1:] != start[many][:-1]) | (first[many][1:] <= first[many][:-1]))) if len(many) else many
+        masks = np.bitwise_or.reduceat(U64(1) << (first - start)[many].astype(U64), cuts) if len(many) else np.zeros(0, U64)
+        known = many[cuts]
+        place = np.arange(len(known), dtype=U64)
+        columns = [
+            np.concatenate((one[alone], one[told], mix(owner[known].view(U64) + place))).view(np.int64),
+            np.concatenate((two[alone], two[told], place)).view(np.int64),
+            np.concatenate((owner[alone], np.zeros(len(told), np.int64), owner[known])),
+            np.concatenate((first[alone], np.full(len(told), -1), start[known])).astype(np.int32),
+            np.concatenate((np.zeros(len(alone) + len(told), U64), masks)).view(np.int64),
+        ]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], _WINDOW)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
+        for part in slices(batches):
+            words = split_words(*utf8(part.column("text")))
+            hashes = words.hashes()
+            s = segments(words, hashes, p)
+            some = np.flatnonzero(_within(s.gram, hot))
+            if not len(some):
+                continue
+            n = s.n[some]
+            at = spread(s.first[some], n)
+            doc = np.repeat(s.doc[some], n)
+            base = words.first[doc]
+            owner = part.column("owner").to_numpy()[doc]
+            held.append((runs(hashes, p.window)[at], runs(mix(~hashes), p.window)[at], owner, at - base, np.repeat(s.first[some], n) - base))
+            if sum(len(x[0]) for x in held) >= p.held:
+                yield settle(held)
+                held = []
+        if held:
+            yield settle(held)
+
+    return run
+
+
+def _anchors(p: Repeats, hot: np.ndarray):
+    def run(part: pa.RecordBatch):
+        words = split_words(*utf8(part.column("text")))
+        s = _cold(segments(words, words.hashes(), p), hot)
+        order = np.argsort(s.doc, kind="stable")
+        return part.column("owner").to_numpy(), words.counts, s.doc[order], s.gram[order]
+
+    return run
 
 
 _PIECE = pa.schema([("key", pa.int64()), ("words", pa.binary()), ("owners", pa.list_(pa.int64())), ("firsts", pa.list_(pa.int32()))])
 
 
-def _plant(p: Repeats, buckets: int):
+def _plant(p: Repeats, buckets: int, hot: np.ndarray):
     """Rows of one prefix and the words around it; equal ones of a slice are one row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
             words = split_words(*utf8(part.column("text")))
-            hashes = words.hashes()
-            s = segments(words, hashes, p)
-            listed = part.column("tokens")
-            known, at = np.unique(listed.flatten().to_numpy(), return_index=True)
-            counts = part.column("counts").flatten().to_numpy()[at]
+            s = _cold(segments(words, words.hashes(), p), hot)
+            known = np.unique(part.column("tokens").flatten().to_numpy())
             if not len(known) or not len(s.n):
                 continue
             ids = token_ids(s.gram, buckets)
             spot = np.minimum(np.searchsorted(known, ids), len(known) - 1)
             kept = known[spot] == ids
-            s = Segments(s.doc[kept], s.first[kept], s.n[kept], s.anchor[kept], s.gram[kept])
-            which, first, n, key = _pieces(s, hashes, counts[spot[kept]], p)
-            doc = s.doc[which]
+            doc, first, n, key = s.doc[kept], s.first[kept], s.n[kept], mix(s.gram[kept])
             owners, local = part.column("owner").to_numpy()[doc], first - words.first[doc]
             low, high = words.starts[first], words.ends[first + n + p.window - 2]
             raw = words.data.tobytes()
@@ -239,6 +310,21 @@ def _clean(p: Repeats):
     return run
 
 
+def planted(rows: DataFrame, p: Repeats, hot: np.ndarray) -> DataFrame:
+    """key, words, owners, firsts: segments of the anchors that occur several times but are not hot."""
+    lists = shared_tokens(rows, _anchors(p, hot), once=False).select("owner", "tokens")
+    buckets = buckets_of(rows.sparkSession)
+    return rows.join(lists, "owner").mapInArrow(_plant(p, buckets, hot), "key long, words binary, owners array<long>, firsts array<int>")
+
+
+def hot_repeats(rows: DataFrame, p: Repeats, hot: np.ndarray) -> DataFrame:
+    """owner, first, mask: repeated windows over hot anchors."""
+    windows = rows.mapInArrow(_windows(p, hot), "one long, two long, owner long, first int, mask long")
+    n = F.sum(F.when(F.col("first") < 0, 2).otherwise(1)).over(Window.partitionBy("one", "two"))
+    found = windows.withColumn("n", n).filter("first >= 0 AND (mask <> 0 OR n > 1)")
+    return found.select("owner", "first", F.when(F.col("mask") != 0, F.col("mask")).otherwise(F.lit(1)).alias("mask"))
+
+
 def repeats(docs: DataFrame, p: Repeats = Repeats()) -> DataFrame:
     """owner, first, mask: windows that occur more than once; bit i of a mask is the window that starts at word first + i.
 
@@ -247,10 +333,9 @@ def repeats(docs: DataFrame, p: Repeats = Repeats()) -> DataFrame:
     ``owner`` is ``xxhash64(doc_id, text)``.
     """
     rows = _named(docs).select("owner", "text")
-    lists = shared_tokens(rows, _anchors(p), once=False).select("owner", "tokens", "counts")
-    buckets = buckets_of(docs.sparkSession)
-    planted = rows.join(lists, "owner").mapInArrow(_plant(p, buckets), "key long, words binary, owners array<long>, firsts array<int>")
-    return planted.repartition("key").sortWithinPartitions("key", "words").mapInArrow(_trees(p), "owner long, first int, mask long")
+    hot = hot_anchors(rows, p)
+    found = planted(rows, p, hot).repartition("key").sortWithinPartitions("key", "words").mapInArrow(_trees(p), "owner long, first int, mask long")
+    return found.unionByName(hot_repeats(rows, p, hot)) if len(hot) else found
 
 
 def _named(docs: DataFrame) -> DataFrame:

@@ -156,3 +156,24 @@ def test_a_long_text_and_a_default_window(spark):
     texts = [" ".join(words), " ".join(["x", *words[100:135], "y"]), " ".join(words[200:234])]
     got = [r.n_removed for r in substring_dedup.substring_dedup(frame(spark, texts)).orderBy("doc_id").collect()]
     assert got == [35, 35, 0]
+
+
+@pytest.mark.parametrize("held", [50, 1_000_000])
+def test_a_passage_in_many_texts_makes_no_large_group(spark, held):
+    rng = random.Random(17)
+    passage = [f"c{i}" for i in range(50)]
+    texts = []
+    for i in range(300):
+        low, high = rng.randint(0, 15), rng.randint(35, 50)
+        texts.append(" ".join([*(f"a{i}.{j}" for j in range(rng.randint(0, 30)) ), *passage[low:high], *(f"z{i}.{j}" for j in range(rng.randint(0, 30)))]))
+    docs = frame(spark, texts + texts[:3]).repartition(4)
+    p = substring_dedup.Repeats(window=25, gram=5, group=20, held=held)
+    got = sorted(tuple(r) for r in substring_dedup.substring_dedup(docs, p).collect())
+    assert got == brute_repeats([(r.doc_id, r.text) for r in docs.collect()], 25)
+    if held > 50:
+        rows = substring_dedup._named(docs).select("owner", "text")
+        hot = substring_dedup.hot_anchors(rows, p)
+        members = Counter()
+        for r in substring_dedup.planted(rows, p, hot).collect():
+            members[r.key] += len(r.owners)
+        assert len(hot) and max(members.values(), default=0) <= 20 + 4
