@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, WindowSpec
+from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 
 from barflow.config import LAYOUT, RESEARCH, Layout
@@ -24,6 +24,19 @@ def cut_weights(d: float, threshold: float, limit: int) -> list[float]:
     return weights[: next(small, len(weights))]
 
 
+def cut_weights_of(d: Column, threshold: float, limit: int) -> Column:
+    """``cut_weights`` of a column of degrees."""
+
+    def step(acc: Column, lag: Column) -> Column:
+        w = acc["w"] * (lag - 1 - d) / lag
+        more = F.struct(w.alias("w"), F.concat(acc["out"], F.array(w)).alias("out"))
+        return F.when(F.abs(w) >= threshold, more).otherwise(F.struct(F.lit(None).cast("double").alias("w"), acc["out"].alias("out")))
+
+    one = F.struct(F.lit(1.0).alias("w"), F.array(F.lit(1.0)).cast("array<double>").alias("out"))
+    lags = F.sequence(F.lit(1), F.lit(limit - 1)) if limit > 1 else F.array().cast("array<int>")
+    return F.aggregate(lags, one, step, lambda acc: acc["out"])
+
+
 def frac_diff_op(weights: list[float], value: str = "close", name: str = "frac_diff", short: bool = False) -> LocalOp:
     """Sliding dot product; NULL where the window is not full.
 

@@ -197,9 +197,9 @@ def frac_diff_short(spark, sf_dir):
 )
 def frac_weights(spark, sf_dir):
     """Weights for every differencing degree that the discounts of the lines make."""
-    degrees = tables.table(spark, sf_dir, "lineitem").select(F.round(F.col("l_discount") * 10, 1).alias("d")).distinct().collect()
-    rows = [(x.d, k, w) for x in degrees for k, w in enumerate(fracdiff.cut_weights(x.d, 1e-3, 1000))]  # a few degrees
-    return spark.createDataFrame(rows, "d double, k int, w double").select("d", "k", r("w", 9))
+    degrees = tables.table(spark, sf_dir, "lineitem").select(F.round(F.col("l_discount") * 10, 1).alias("d")).distinct()
+    weights = fracdiff.cut_weights_of(F.col("d"), 1e-3, 1000)
+    return degrees.select("d", F.posexplode(weights).alias("k", "w")).select("d", "k", r("w", 9))
 
 
 EDGES_SQL = """

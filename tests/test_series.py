@@ -333,3 +333,11 @@ def test_rolling_drift(bars):
             assert np.isnan(out["psi"][i]) and not out["drift"][i]
         else:
             assert out["psi"][i] == pytest.approx(numpy_psi(hot[i - 150 : i - 50], hot[i - 50 : i]), rel=1e-9)
+
+
+def test_weights_of_a_column_of_degrees(spark):
+    degrees = [0.0, 0.1, 0.4, 0.5, 0.9, 1.0, 1.7]
+    df = spark.createDataFrame([(d,) for d in degrees], "d double")
+    for threshold, limit in ((1e-3, 1000), (1e-2, 5), (1e-2, 1)):
+        got = {x.d: x.w for x in df.select("d", fracdiff.cut_weights_of(F.col("d"), threshold, limit).alias("w")).collect()}
+        assert got == {d: fracdiff.cut_weights(d, threshold, limit) for d in degrees}
