@@ -24,7 +24,8 @@ def exact_quantiles(
 
     1. A sketch per key gives split values (bounded state). 2. Rows per split are counted with a
     map-side combine. 3. Only rows of the splits that hold a wanted rank are shuffled, after
-    equal values were merged into (value, count). No task sees a whole group.
+    equal values were merged into (value, count). A task sees one split: about 1/256 of the
+    distinct values of its group.
     """
     keys = list(keys)
     if not keys:
