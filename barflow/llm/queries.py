@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barflow.llm import exact_dedup as exact
-from barflow.llm import decontamination, html_extract, mixing, pii, substring_dedup, token_counts, toxicity, url_filter
+from barflow.llm import decontamination, html_extract, mixing, packing, pii, substring_dedup, token_counts, toxicity, url_filter, whitening
 from barflow.llm import ngram_join as ngram
 from barflow.session import shared_dir
 
@@ -176,3 +176,16 @@ def op3(spark: SparkSession, sf_dir: str, folder: str = TOKENIZERS) -> DataFrame
     rollup.apply("2", gone)
     rollup.apply("2", gone)  # replayed: changes nothing
     return rollup.totals()
+
+
+@query("op11_embedding_whitening")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+@query("op13_packing")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    pieces = packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
