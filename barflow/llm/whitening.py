@@ -54,7 +54,7 @@ def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _matrix(column: pa.Array) -> np.ndarray:
     """Vectors of one length as rows of 64-bit integers (without SHIFT, which no covariance sees)."""
-    return np.array([np.frombuffer(raw, f"<i{raw[0]}", offset=1) for raw in column.to_pylist()], np.int64)
+    return np.array([np.frombuffer(raw[1:], f"<i{raw[0]}") for raw in column.to_pylist()], np.int64)
 
 
 # ----------------------------------------------------------------------------------- sums in tasks
@@ -170,7 +170,7 @@ def _deviations(x: np.ndarray, n: int, sums: tuple[int, ...]) -> list[int | None
     """Sum of (n x - S)^2 for each row, exact; None beyond 64 bits."""
     low, high = x.min(axis=0).tolist(), x.max(axis=0).tolist()
     most = sum(max(abs(n * a - s), abs(n * b - s)) ** 2 for a, b, s in zip(low, high, sums, strict=True))
-    fits = most < 1 << 63 and max(map(abs, sums)) < 1 << 62
+    fits = most < 1 << 63 and max(map(abs, sums), default=0) < 1 << 62
     kind = np.int64 if fits else object
     gap = n * x.astype(kind) - np.array(sums, kind)
     return [v if v < 1 << 63 else None for v in map(int, (gap * gap).sum(axis=1))]

@@ -34,7 +34,7 @@ def rows():
     base = [rng.normal(0, 3, 20).tolist() for _ in range(300)]
     hot = base[0]
     rows = [(i, base[i % 300]) for i in range(900)] + [(1000 + i, hot) for i in range(2500)]
-    return rows + [(5, hot), (5, base[1]), (None, base[2]), (7000, None), (7001, [None, *hot[1:]]), (7002, [math.nan, *hot[1:]]), (7003, [math.inf, *hot[1:]]), (7004, [1e6, *hot[1:]])]
+    return rows + [(5, hot), (5, base[1]), (None, base[2]), (7000, None), (7001, [None, *hot[1:]]), (7002, [math.nan, *hot[1:]]), (7003, [math.inf, *hot[1:]]), (7004, [100.0, *hot[1:]])]
 
 
 def test_whitening_equals_brute_force(spark, rows):
