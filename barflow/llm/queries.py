@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barflow.llm import exact_dedup as exact
-from barflow.llm import decontamination, html_extract, mixing, packing, pii, substring_dedup, token_counts, toxicity, url_filter, whitening
+from barflow.llm import collocations, decontamination, html_extract, mixing, packing, pii, substring_dedup, token_counts, toxicity, url_filter, whitening
 from barflow.llm import ngram_join as ngram
 from barflow.session import shared_dir
 
@@ -183,6 +183,34 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"))
 
 
+_OP12_SQL = r"""
+    WITH t AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+    p AS (SELECT lang, regexp_extract_all(unnest(string_split_regex(t, '[.,;:!?
+-]')), '[^ 	]+') AS w FROM t),
+    tot AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM p GROUP BY lang),
+    ks AS (SELECT unnest([1, 2, 3, 4]) AS k),
+    occ AS (SELECT lang, k, w, unnest(range(1, len(w) - k + 2)) AS i FROM p, ks WHERE len(w) >= k),
+    f AS (SELECT lang, k, array_to_string(w[i : i + k - 1], ' ') AS phrase, count(*) AS a FROM occ GROUP BY ALL HAVING count(*) >= 30),
+    c AS (SELECT lang, phrase, a, k, string_split(phrase, ' ') AS w FROM f WHERE k > 1),
+    cut AS (SELECT lang, phrase, a, k, w, unnest(range(1, k)) AS j FROM c),
+    parts AS (SELECT lang, phrase, a, j, array_to_string(w[1 : j], ' ') AS x, array_to_string(w[j + 1 : k], ' ') AS y FROM cut),
+    sc AS (SELECT q.lang, q.phrase, q.a, j, l.a AS l, r.a AS r, (CAST(2000000 AS HUGEINT) * q.a) // (CAST(l.a AS HUGEINT) + r.a) AS score
+           FROM parts q JOIN f l ON q.lang = l.lang AND q.x = l.phrase JOIN f r ON q.lang = r.lang AND q.y = r.phrase),
+    low AS (SELECT * FROM sc QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+    spans AS (SELECT b AS beg, e AS fin FROM (SELECT unnest([1, 2, 3]) AS b), (SELECT unnest([2, 3, 4]) AS e) WHERE e > b),
+    sub AS (SELECT lang, array_to_string(w[beg : fin], ' ') AS phrase, max(a) AS longest FROM c, spans WHERE fin <= k AND fin - beg + 1 < k GROUP BY ALL),
+    kept AS (SELECT low.* FROM low LEFT JOIN sub ON low.lang = sub.lang AND low.phrase = sub.phrase WHERE NOT coalesce(CAST(100 AS HUGEINT) * longest >= CAST(80 AS HUGEINT) * a, false)),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+    SELECT lang, CAST(rank AS BIGINT) AS rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, n, CAST(score AS BIGINT) AS score
+    FROM ranked JOIN tot USING (lang) WHERE rank <= 2000
+"""
+
+
+@query("op12_collocations", _OP12_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents")).drop("doc_id", "at")
+
+
 @query("op13_packing")
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers

@@ -16,6 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from barflow.llm.hot_keys import hot_parts, join_parts
 from barflow.session import cut_lineage
 
 #: Fixed values of the quantisation: x = floor(STEPS * c) + SHIFT.
@@ -23,9 +24,6 @@ STEPS = 64
 SHIFT = 1_000_000
 #: |STEPS * c| beyond this is taken as this, so that integers stay exact in double precision.
 EDGE = 1 << 52
-#: A vector with more rows than this, or more than a hundred-thousandth of all rows, is joined in several parts.
-PART_ROWS = 1_000
-PARTS = 100_000
 
 
 # ----------------------------------------------------------------------------------- vectors as bytes
@@ -219,7 +217,7 @@ def whiten(vectors: DataFrame, id: str = "vec_id", vector: str = "embedding", co
     differ, has no component: its row comes once with null component. ``deviation`` is null beyond 64 bits. Null and
     repeated ids stay row by row; other columns are not looked at; an empty table gives an empty result.
 
-    Vectors with many rows are joined in parts: at most ``PARTS`` vectors can pass the bound, so their list is broadcast.
+    Vectors with many rows are joined in parts (``hot_keys``).
     """
     spark = vectors.sparkSession
     plain = vectors.select(F.col(id).alias("id"), F.col(vector).cast("array<double>").alias("vector"))
@@ -233,11 +231,7 @@ def whiten(vectors: DataFrame, id: str = "vec_id", vector: str = "embedding", co
     own = distinct.filter(F.col("dim") == model.dim).select("x", "m")
     whitened = cut_lineage(own.mapInArrow(_project(model), "x binary, m long, deviation long, z array<double>"))
     error = _identity_error(whitened, model, weights)
-    bound = max(PART_ROWS, distinct.agg(F.sum("m")).first()[0] // PARTS)
-    hot = F.broadcast(whitened.filter(F.col("m") > bound).groupBy(F.xxhash64("x").alias("hot")).agg(F.ceil(F.max("m") / bound).alias("parts")))
-    dealt = rows.join(hot, F.xxhash64("x") == F.col("hot"), "left").withColumn("part", F.coalesce(F.pmod(F.monotonically_increasing_id(), F.col("parts")), F.lit(0)))
-    copied = whitened.join(hot, F.xxhash64("x") == F.col("hot"), "left").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("parts", F.lit(1)) - 1)))
-    joined = dealt.select("id", "x", "part").join(copied.select("x", "part", "deviation", "z"), ["x", "part"], "left")
+    joined = join_parts(rows.select("id", "x"), whitened.select("x", "deviation", "z"), ["x"], hot_parts(whitened, ["x"]), "left")
     spread = joined.select("id", "deviation", F.posexplode_outer("z").alias("pos", "whitened"))
     explained = F.array(*[F.lit(v) for v in model.explained]) if model.explained else F.array().cast("array<double>")
     has = F.col("pos").isNotNull()
