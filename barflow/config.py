@@ -61,12 +61,14 @@ class Layout:
     """Physical layout of a long series.
 
     ``chunk_bars`` rows of one symbol form a chunk, the unit of work of a window task.
-    ``fanout`` chunks form a block when chunk summaries are scanned.
+    ``fanout`` chunks form a block when chunk summaries are scanned. ``chunk_rows`` rows form a
+    chunk where rows are not numbered bars.
     """
 
     chunk_bars: int = 2048
     fanout: int = 1024
     levels: int = 2
+    chunk_rows: int = 250_000
 
 
 LIVE = LiveConfig()

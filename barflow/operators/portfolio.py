@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from barflow.config import LAYOUT, LIVE, Layout
 from barflow.functions.signals import entry_size
-from barflow.operators.series import DAY_US, Measure, exclusive_scan, running
+from barflow.operators.series import Measure, depth_chunks, exclusive_scan, running
 
 
 def open_from_signals(signals: DataFrame, cash: Column, cfg=LIVE) -> DataFrame:
@@ -92,8 +92,11 @@ def portfolio_heat(positions: DataFrame, equity: DataFrame) -> DataFrame:
     return equity.join(held, "portfolio", "left").select("portfolio", F.coalesce(heat, F.lit(0.0)).alias("heat"))
 
 
-def cash_flows(positions: DataFrame) -> DataFrame:
-    """Opening and closing flows. At one time closings come first, then ids in order."""
+def cash_flows(positions: DataFrame, closes: DataFrame | None = None) -> DataFrame:
+    """Opening and closing flows. At one time closings come first, then ids in order.
+
+    A position closes as a whole at its exit, or in the parts that ``closes`` lists (see ``closes.partial_closes``).
+    """
     opened = positions.select(
         "portfolio",
         F.col("entry_time").alias("ts"),
@@ -102,32 +105,37 @@ def cash_flows(positions: DataFrame) -> DataFrame:
         (-F.col("entry_price") * F.col("size")).alias("flow"),
         (F.col("entry_price") * F.col("size")).alias("exposure_change"),
     )
-    closed = positions.where(F.col("exit_price").isNotNull()).select(
+    whole = positions.where(F.col("exit_price").isNotNull()) if closes is None else closes
+    closed = whole.select(
         "portfolio",
         F.col("exit_time").alias("ts"),
         F.lit(0).alias("seq"),
         "position_id",
         (F.col("exit_price") * F.col("size")).alias("flow"),
         (-F.col("entry_price") * F.col("size")).alias("exposure_change"),
+        *([] if closes is None else ["fill_id"]),
     )
-    return opened.unionByName(closed)
+    return opened.unionByName(closed, allowMissingColumns=True)
 
 
 def cash_ledger(
-    positions: DataFrame, starting_cash: float = LIVE.starting_cash, chunk_us: int = DAY_US, layout: Layout = LAYOUT
+    positions: DataFrame, starting_cash: float = LIVE.starting_cash, layout: Layout = LAYOUT, closes: DataFrame | None = None
 ) -> DataFrame:
     """Running cash and open exposure after every flow of a portfolio.
 
-    Flows are scanned in time chunks of ``chunk_us``. Unlike bars they are not bounded per
-    interval: choose a width whose busiest chunk fits a task. Narrow chunks only add small rows
-    to the scan of chunk totals.
+    Flows are scanned in chunks of ``layout.chunk_rows``, cut by counting, so that a portfolio with any number of flows at
+    one time is split as well.
     """
-    flows = cash_flows(positions).withColumn("_chunk", F.floor(F.unix_micros("ts") / chunk_us).cast("bigint"))
+    flows = cash_flows(positions, closes)
+    order = ["ts", "seq", "position_id"]
+    if closes is not None:
+        flows = flows.withColumn("fill_id", F.coalesce("fill_id", F.lit("")))
+        order.append("fill_id")
     out = running(
-        flows,
+        depth_chunks(flows, ["portfolio"], order, layout=layout),
         ["portfolio"],
         "_chunk",
-        ["ts", "seq", "position_id"],
+        order,
         [Measure("_cash", "sum", F.col("flow")), Measure("exposure", "sum", F.col("exposure_change"))],
         layout,
     )

@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from barflow.config import LAYOUT, Layout
+from barflow.session import cut_lineage
 
 DAY_US = 86_400_000_000
 HOUR_US = 3_600_000_000
@@ -109,11 +110,12 @@ def running(
     measures: Sequence[Measure],
     layout: Layout = LAYOUT,
     reverse: bool = False,
+    exclusive: bool = False,
 ) -> DataFrame:
     """Add inclusive prefix aggregates over the full series of each key.
 
     ``chunk`` must be a non-decreasing function of ``order``. With ``reverse`` the prefix runs
-    from the end.
+    from the end; an ``exclusive`` one leaves the row itself out.
     """
     keys = list(keys)
     sort = [F.col(c).desc() if reverse else F.col(c) for c in order]
@@ -124,7 +126,7 @@ def running(
         edge = -edge
     totals = df.groupBy(*keys, chunk).agg(*[_total(m, m.value, edge).alias(m.name) for m in measures])
     carry = exclusive_scan(totals, keys, chunk, measures, layout, reverse=reverse)
-    w = Window.partitionBy(*keys, chunk).orderBy(*sort).rowsBetween(Window.unboundedPreceding, 0)
+    w = Window.partitionBy(*keys, chunk).orderBy(*sort).rowsBetween(Window.unboundedPreceding, -1 if exclusive else 0)
     local = df.withColumns({f"l_{m.name}": _over(m, m.value, w) for m in measures})
     joined = local.join(carry, [*keys, chunk], "left")
     return joined.withColumns(
@@ -132,6 +134,21 @@ def running(
     ).drop(*[f"{p}_{m.name}" for m in measures for p in "lc"])
 
 
+def depth_chunks(df: DataFrame, keys: Sequence[str], order: Sequence[str], rows: int | None = None, layout: Layout = LAYOUT) -> DataFrame:
+    """``df`` with ``_chunk``, a number that does not fall along (keys, order) and names at most ``rows`` rows, whatever their times.
+
+    Spark samples the bounds of ranges, a range is sorted and cut by counting. The result is written once, as ranges are
+    drawn anew whenever they are computed.
+    """
+    rows = rows or layout.chunk_rows
+    ranged = df.repartitionByRange(*[F.col(c) for c in (*keys, *order)]).sortWithinPartitions(*keys, *order)
+    # a row's number: range in the upper bits, place in the range in the lower 33
+    number = F.monotonically_increasing_id()
+    place = number.bitwiseAND(F.lit((1 << 33) - 1))
+    chunk = F.shiftleft(F.shiftright(number, 33), 20) + F.floor(place / rows).cast("bigint")
+    return cut_lineage(ranged.withColumn("_chunk", chunk))
+
+
 # --------------------------------------------------------------------------- dense position
 def index_bars(
     bars: DataFrame,

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from barflow.config import LIVE
 from barflow.functions import microstructure, risk, signals, sizing
-from barflow.operators import barriers, exits, features, portfolio, reconcile, trades
+from barflow.operators import barriers, closes, exits, features, portfolio, reconcile, trades
 from barflow.operators.series import apply_local, join_per_key
 from barflow.plans.registry import query, r, us
 from barflow.plans.sqlparts import BARS, FEATURES, live_labels, with_
@@ -355,6 +355,49 @@ def cash_ledger(spark, sf_dir):
     return ledger.select("portfolio", "position_id", "seq", us(), r("cash_usd", 4), exposure)
 
 
+PARTIAL = """
+lines AS (SELECT l_linestatus AS portfolio, 's' || l_suppkey AS symbol, l_returnflag, l_linenumber, l_quantity, CAST(l_shipdate AS TIMESTAMP) AS ts, floor(l_extendedprice / l_quantity) AS price,
+   concat_ws('_', l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(l_quantity AS BIGINT), CAST(round(l_extendedprice * 100) AS BIGINT)) AS id FROM lineitem),
+pev AS (SELECT portfolio, symbol, ts, id, 1 AS seq, l_quantity AS o, 0e0 AS c, price FROM lines WHERE l_returnflag <> 'R'
+   UNION ALL SELECT portfolio, symbol, ts, id, 0, 0e0, l_quantity * 1.5, price + l_linenumber * 7 - 20 FROM lines WHERE l_returnflag = 'R'),
+psum AS (SELECT *, sum(o) OVER w AS a, sum(c) OVER w AS f FROM pev WINDOW w AS (PARTITION BY portfolio, symbol ORDER BY ts, seq, id ROWS UNBOUNDED PRECEDING)),
+plost AS (SELECT *, greatest(0, coalesce(max(CASE WHEN seq = 0 THEN f - a END) OVER w, 0)) AS now,
+   greatest(0, coalesce(max(CASE WHEN seq = 0 THEN f - a END) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS old
+   FROM psum WINDOW w AS (PARTITION BY portfolio, symbol ORDER BY ts, seq, id)),
+pclose AS (SELECT l.portfolio, l.symbol, l.id AS position_id, x.id AS fill_id, l.ts AS entry_time, x.ts AS exit_time, l.price AS entry_price, x.price AS exit_price,
+   least(l.a, x.f - x.now) - greatest(l.a - l.o, x.f - x.c - x.old) AS size, l.a - least(l.a, x.f - x.now) AS remaining_size
+   FROM plost l JOIN plost x ON l.portfolio = x.portfolio AND l.symbol = x.symbol AND l.seq = 1 AND x.seq = 0
+    AND l.a - l.o < x.f - x.now AND x.f - x.c - x.old < l.a)"""
+
+
+@query(
+    "a17_partial_closes",
+    with_(PARTIAL, select="""SELECT portfolio, symbol, position_id, fill_id, size, remaining_size, round((exit_price - entry_price) * size, 4) AS pnl_usd,
+        round((exit_price / entry_price - 1) * 100, 6) AS return_pct FROM pclose"""),
+)
+def partial_closes(spark, sf_dir):
+    """Closing fills against the lots of their symbol, first opened first."""
+    out = closes.partial_closes(*tables.lots_and_fills(spark, sf_dir))
+    return out.select("portfolio", "symbol", "position_id", "fill_id", "size", "remaining_size", r("pnl_usd", 4), r("return_pct"))
+
+
+@query(
+    "w20_partial_ledger",
+    with_(PARTIAL, """pflow AS (SELECT portfolio, ts, 1 AS seq, id AS position_id, '' AS fill_id, -price * o AS flow, price * o AS ex, CAST(NULL AS DOUBLE) AS remaining FROM pev WHERE seq = 1
+          UNION ALL SELECT portfolio, exit_time, 0, position_id, fill_id, exit_price * size, -entry_price * size, remaining_size FROM pclose)""",
+        select="""SELECT portfolio, position_id, fill_id, epoch_us(ts) AS ts_us, 10000 + sum(flow) OVER w AS cash_usd, sum(ex) OVER w AS exposure, remaining FROM pflow
+        WINDOW w AS (PARTITION BY portfolio ORDER BY ts, seq, position_id, fill_id ROWS UNBOUNDED PRECEDING)"""),
+)
+def partial_ledger(spark, sf_dir):
+    """Cash and exposure after every opening and partial close, and what is left of the lot. All amounts are exact."""
+    lots, fills = tables.lots_and_fills(spark, sf_dir)
+    done = cut_lineage(closes.partial_closes(lots, fills))
+    ledger = portfolio.cash_ledger(lots, closes=done)
+    left = done.select("portfolio", "position_id", "fill_id", F.col("remaining_size").alias("remaining"))
+    out = ledger.join(left, ["portfolio", "position_id", "fill_id"], "left")
+    return out.select("portfolio", "position_id", "fill_id", us(), "cash_usd", (F.col("exposure") + F.lit(0.0)).alias("exposure"), "remaining")
+
+
 @query(
     "a16_daily_results",
     with_(POSITION_SQL, """days AS (SELECT portfolio, CAST(exit_time AS DATE) AS day, sum(pnl_usd) AS p, count(*) AS n FROM tr_log GROUP BY 1, 2)""",

@@ -81,6 +81,29 @@ def open_interest_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def lots_and_fills(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Lines as lots of a supplier's stock; returned ones are fills of half as much again. Prices and half sizes are whole numbers."""
+    cents = F.round(F.col("l_extendedprice") * 100).cast("bigint")
+    price = F.floor(F.col("l_extendedprice") / F.col("l_quantity")).cast("double")
+    lines = table(spark, sf_dir, "lineitem").select(
+        F.col("l_linestatus").alias("portfolio"),
+        F.concat(F.lit("s"), "l_suppkey").alias("symbol"),
+        F.concat_ws("_", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.col("l_quantity").cast("bigint"), cents).alias("id"),
+        utc("l_shipdate").alias("ts"),
+        price.alias("price"),
+        "l_quantity", "l_linenumber", "l_returnflag",
+    )
+    lots = lines.where("l_returnflag <> 'R'").select(
+        "portfolio", "symbol", F.col("id").alias("position_id"), F.col("ts").alias("entry_time"), F.col("price").alias("entry_price"),
+        F.lit("BUY").alias("side"), F.col("l_quantity").alias("size"),
+    )
+    fills = lines.where("l_returnflag = 'R'").select(
+        "portfolio", "symbol", F.col("id").alias("fill_id"), "ts", (F.col("price") + F.col("l_linenumber") * 7 - 20).alias("price"),
+        F.when(F.col("l_linenumber") % 2 == 0, F.lit("TAKE_PROFIT")).otherwise(F.lit("STOP_LOSS")).alias("reason"), (F.col("l_quantity") * 1.5).alias("size"),
+    )
+    return lots, fills
+
+
 def order_book(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Embedding halves as bid and ask volumes, best level first."""
     volumes = F.transform("embedding", lambda x: F.abs(x.cast("double")))
