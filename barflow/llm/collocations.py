@@ -29,9 +29,11 @@ BREAK[[*b".,;:!?", 10, 11, 12, 13]] = True
 LETTERS = NOT_SPACE & ~BREAK
 
 #: Fingerprints and counts that a task holds before it sends them.
-HELD = 4_000_000
+HELD = 2_000_000
+#: Bytes of text that the second pass looks at at once, as it makes an object of each word.
+SLICE = 1_000_000
 #: Phrases that a task holds before it sends them.
-HELD_PHRASES = 200_000
+HELD_PHRASES = 100_000
 
 
 @dataclass(frozen=True)
@@ -47,7 +49,7 @@ class Rule:
     cover: int = 80
     top: int = 2000
     scale: int = 2_000_000
-    bits: int = 28
+    bits: int = 27
 
 
 # ----------------------------------------------------------------------------------- fingerprints
@@ -158,7 +160,7 @@ def screen(rows: DataFrame, rule: Rule) -> np.ndarray:
 
 # ----------------------------------------------------------------------------------- phrases
 def _phrases(rule: Rule, shared):
-    """(lang, words, phrase, n, doc_id, at): runs of which every part passes the bitmap, counted by text within a task."""
+    """(lang, words, phrase, n, doc_id): runs of which every part passes the bitmap, counted by text within a task."""
 
     def passes(bits: np.ndarray, prints: np.ndarray) -> np.ndarray:
         place = (prints >> U64(64 - rule.bits)).astype(np.int64)
@@ -177,10 +179,10 @@ def _phrases(rule: Rule, shared):
         langs = part.column("lang").to_pylist()
         names: dict[str, int] = {}
         lang = np.array([names.setdefault(x, len(names)) for x in langs], np.int64)[doc]
-        ids, begin = part.column("doc_id").to_pylist(), words.first
+        ids = part.column("doc_id").to_pylist()
         for name, i in names.items():
             key = (name, 0, None)
-            held[key] = (held.get(key, (0,))[0] + int((lang == i).sum()), None, None)
+            held[key] = (held.get(key, (0,))[0] + int((lang == i).sum()), None)
         # exact numbers of runs: that of the run without its last word, and the last word
         number = np.full(len(doc), -1, np.int64)
         for k, (at, prints) in enumerate(grams, 1):
@@ -194,22 +196,19 @@ def _phrases(rule: Rule, shared):
             for i, n in zip(at[first].tolist(), many.tolist(), strict=True):
                 d = doc[i]
                 key = (langs[d], k, b" ".join(texts[i : i + k]))
-                before = held.get(key)
-                pointer = (ids[d], i - int(begin[d]))
-                if before is None:
-                    held[key] = (n, *pointer)
-                else:
-                    held[key] = (n + before[0], *min(before[1:], pointer, key=_first))
+                total, pointer = held.get(key, (0, None))
+                own = ids[d]
+                held[key] = (n + total, own if pointer is None or own is not None and own < pointer else pointer)
 
     def rows(held: dict) -> pa.RecordBatch:
         keys, values = zip(*held, strict=True), zip(*held.values(), strict=True)
-        kinds = [pa.string(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
+        kinds = [pa.string(), pa.int32(), pa.binary(), pa.int64(), pa.int64()]
         out = [pa.array(x, t) for x, t in zip((*keys, *values), kinds, strict=True)]
-        return pa.RecordBatch.from_arrays([out[0], out[1], out[2].cast(pa.string()), *out[3:]], ["lang", "words", "phrase", "n", "doc_id", "at"])
+        return pa.RecordBatch.from_arrays([out[0], out[1], out[2].cast(pa.string()), *out[3:]], ["lang", "words", "phrase", "n", "doc_id"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict = {}
-        for part in slices(batches):
+        for part in slices(batches, most=SLICE):
             found(part, shared.value, held)
             if len(held) > HELD_PHRASES:
                 yield rows(held)
@@ -220,24 +219,18 @@ def _phrases(rule: Rule, shared):
     return run
 
 
-def _first(pointer: tuple) -> tuple:
-    """Smallest doc_id first, none last."""
-    return (pointer[0] is None, pointer[0] or 0, pointer[1])
-
-
 def frequent(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
-    """lang, words, phrase, a, doc_id, at: runs of 1 to ``longest`` words that occur at least ``least`` times, and where first.
+    """lang, words, phrase, a, doc_id: runs of 1 to ``longest`` words that occur at least ``least`` times, and where.
 
-    A row with 0 words has the number of words of the language. ``doc_id`` and ``at`` (words before it in that text) point
-    to the occurrence with the smallest doc_id.
+    A row with 0 words has the number of words of the language. ``doc_id`` points to an occurrence: the smallest doc_id
+    whose text holds the phrase, null if those have none.
     """
     lang = F.coalesce(F.col("lang").cast("string"), F.lit("und"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), lang.alias("lang"), F.xxhash64(lang).alias("seed"), F.col("text").cast("string").alias("text"))
     bits = docs.sparkSession.sparkContext.broadcast(screen(rows, rule))  # 2**(bits - 3) bytes
-    told = rows.mapInArrow(_phrases(rule, bits), "lang string, words int, phrase string, n long, doc_id long, at long")
-    pointer = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "at")
-    counted = told.groupBy("lang", "words", "phrase").agg(F.sum("n").alias("a"), F.min(pointer).alias("where"))
-    return counted.filter((F.col("a") >= rule.least) | (F.col("words") == 0)).select("lang", "words", "phrase", "a", "where.doc_id", "where.at")
+    told = rows.mapInArrow(_phrases(rule, bits), "lang string, words int, phrase string, n long, doc_id long")
+    counted = told.groupBy("lang", "words", "phrase").agg(F.sum("n").alias("a"), F.min("doc_id").alias("doc_id"))
+    return counted.filter((F.col("a") >= rule.least) | (F.col("words") == 0))
 
 
 def _wide(c: str | Column) -> Column:
@@ -245,7 +238,7 @@ def _wide(c: str | Column) -> Column:
 
 
 def collocations(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
-    """The first ``top`` phrases of each language: lang, rank, phrase, a, l, r, n, score, doc_id, at.
+    """The first ``top`` phrases of each language: lang, rank, phrase, a, l, r, n, score, doc_id.
 
     Texts are lower-cased (A-Z), split at ``.,;:!?`` and line ends into pieces and at blanks and tabs into words; phrases do
     not cross pieces. ``a`` counts the phrase, ``l`` and ``r`` the parts of its lowest-scoring cut, ``n`` all words of the
@@ -256,7 +249,7 @@ def collocations(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     counted = cut_lineage(frequent(docs, rule))
     runs_ = counted.filter("words > 0")
     split = F.split("phrase", " ")
-    candidates = runs_.filter("words > 1").select("lang", "phrase", "words", "a", "doc_id", "at", split.alias("w"))
+    candidates = runs_.filter("words > 1").select("lang", "phrase", "words", "a", "doc_id", split.alias("w"))
 
     # cuts: both parts are runs of their own and at least as frequent
     cut = candidates.select("lang", "phrase", "a", "w", F.explode(F.sequence(F.lit(1), F.col("words") - 1)).alias("k"))
@@ -276,11 +269,11 @@ def collocations(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     longer = candidates.filter("words > 2").select("lang", "a", F.explode(inside).alias("phrase")).groupBy("lang", "phrase").agg(F.max("a").alias("longest"))
     hidden = F.coalesce(_wide("longest") * 100 >= _wide("a") * rule.cover, F.lit(False))
     left = candidates.join(longer, ["lang", "phrase"], "left").filter(~hidden).join(worst, ["lang", "phrase"])
-    left = left.select("lang", "phrase", "a", "cut.l", "cut.r", "cut.score", "doc_id", "at")
+    left = left.select("lang", "phrase", "a", "cut.l", "cut.r", "cut.score", "doc_id")
 
     # the best of a language: first within parts of it, so that no task orders a whole language
     best = [F.desc("score"), F.desc("a"), F.asc("phrase")]
     for by in (["lang", F.pmod(F.xxhash64("phrase"), F.lit(64))], ["lang"]):
         left = left.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*best))).filter(F.col("rank") <= rule.top)
     totals = counted.filter("words = 0").select("lang", F.col("a").alias("n"))
-    return left.join(totals, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score", "doc_id", "at")
+    return left.join(totals, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score", "doc_id")

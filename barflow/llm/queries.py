@@ -186,7 +186,8 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
 _OP12_SQL = r"""
     WITH t AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
     p AS (SELECT lang, regexp_extract_all(unnest(string_split_regex(t, '[.,;:!?
--]')), '[^ 	]+') AS w FROM t),
+-
+]')), '[^ 	]+') AS w FROM t),
     tot AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM p GROUP BY lang),
     ks AS (SELECT unnest([1, 2, 3, 4]) AS k),
     occ AS (SELECT lang, k, w, unnest(range(1, len(w) - k + 2)) AS i FROM p, ks WHERE len(w) >= k),
@@ -208,7 +209,7 @@ _OP12_SQL = r"""
 
 @query("op12_collocations", _OP12_SQL)
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return collocations.collocations(table(spark, sf_dir, "documents")).drop("doc_id", "at")
+    return collocations.collocations(table(spark, sf_dir, "documents")).drop("doc_id")
 
 
 @query("op13_packing")
