@@ -59,9 +59,13 @@ def item_windows(benchmark: DataFrame, p: Windows) -> DataFrame:
     return out
 
 
+def row_key() -> Column:
+    """A hash of doc_id and text: equal rows are judged once."""
+    return F.xxhash64("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")))
+
+
 def _base(docs: DataFrame) -> DataFrame:
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.select(F.col("doc_id"), F.xxhash64("doc_id", text).alias("key"), words(F.col("text")).alias("w")).withColumn("n", F.size("w"))
+    return docs.select(F.col("doc_id"), row_key().alias("key"), words(F.col("text")).alias("w")).withColumn("n", F.size("w"))
 
 
 def _context(at: Column, p: Windows) -> Column:
@@ -93,7 +97,8 @@ def _found_joined(docs: DataFrame, lengths: list[int], shingles: DataFrame, p: W
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, p: Windows = Windows(), inline: int = INLINE) -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_words, n_hit (words inside a window's occurrence), n_items, item_ids, contaminated.
+    """One row per row of ``docs``: doc_id, n_words, n_hit (words inside a window's occurrence), n_items, item_ids, contaminated, key
+    (see ``row_key``).
 
     ``item_ids`` are the ids of items with occurring windows as sorted strings. Null or empty texts have no words and are
     clean, as is everything where the benchmark is empty. Equal windows of several items count for each of them. Rows that
@@ -130,4 +135,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, p: Windows = Windows(),
     out = found.select("doc_id", "key", "n").alias("d").join(told.alias("t"), F.expr("d.doc_id <=> t.doc_id AND d.key = t.key"), "left")
     ids = F.coalesce(F.col("item_ids"), F.array().cast("array<string>"))
     n_hit = F.coalesce(F.col("n_hit"), F.lit(0)).cast("long")
-    return out.select(F.col("d.doc_id").cast("long").alias("doc_id"), F.col("n").cast("long").alias("n_words"), n_hit.alias("n_hit"), F.size(ids).cast("long").alias("n_items"), ids.alias("item_ids"), (n_hit > 0).alias("contaminated"))
+    return out.select(F.col("d.doc_id").cast("long").alias("doc_id"), F.col("n").cast("long").alias("n_words"), n_hit.alias("n_hit"), F.size(ids).cast("long").alias("n_items"), ids.alias("item_ids"), (n_hit > 0).alias("contaminated"), F.col("d.key").alias("key"))
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, p: Windows = Windows()) -> DataFrame:
+    """``docs`` without the rows whose text holds a window of an item. Each row is judged by its own text, with or without doc_id."""
+    bad = decontaminate(docs, benchmark, p).filter("contaminated").select(F.col("key").alias("_key")).distinct()
+    return docs.withColumn("_key", row_key()).join(bad, "_key", "left_anti").select(docs.columns)

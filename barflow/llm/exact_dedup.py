@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from barflow.llm.groups import keep_one
+
 #: Bytes of edge labels that a trie holds before it gives its largest subtree away.
 TRIE_BYTES = 64_000_000
 
@@ -199,3 +201,16 @@ def exact_dedup(docs: DataFrame, keep: str = "smallest") -> DataFrame:
         F.coalesce(owner == F.col("doc_id"), F.lit(True)).alias("kept"),
         "text_sha256",
     )
+
+
+def drop_copies(docs: DataFrame, keep: str = "largest") -> DataFrame:
+    """``docs`` with one row of each distinct text: that with the largest (or smallest) doc_id.
+
+    Null counts as the empty text. A row without doc_id only stays where no equal text has one. Of rows that share text and
+    doc_id one stays, whatever their other columns; a doc_id that stands for several texts keeps each of them.
+    """
+    none = F.lit(-(1 << 63) if keep == "largest" else (1 << 63) - 1)
+    ranked = docs.select(F.coalesce(F.col("doc_id").cast("long"), none).alias("doc_id"), "text")
+    best = F.when(F.col("owner") != none, F.col("owner"))
+    groups = owners(ranked, keep).filter("members > 1").select(F.sha2("text", 256).alias("_key"), best.alias("_best"), F.col("members").alias("m")).withColumn("_group", F.col("_key"))
+    return keep_one(docs, F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256), groups)

@@ -76,7 +76,7 @@ def flight(p: np.ndarray, x: np.ndarray, dice: np.ndarray) -> np.ndarray:
     return np.array(p)
 
 
-_COLUMNS = ["src", "doc_id", "size", "order", "whole", "p"]
+_COLUMNS = ["src", "doc_id", "named", "size", "order", "whole", "p"]
 
 
 def _uniform(keys: np.ndarray, salt: int) -> np.ndarray:
@@ -109,7 +109,8 @@ def _land(rows: pd.DataFrame) -> pd.DataFrame:
     return rows
 
 
-_UNIT = "src int, doc_id long, size long, order long, whole long, p double"
+#: ``named``: whether the row has a doc_id; without one it is 0, as frames of pandas hold no missing integers.
+_UNIT = "src int, doc_id long, named boolean, size long, order long, whole long, p double"
 
 
 def _open_counts(units: DataFrame) -> dict[int, int]:
@@ -118,7 +119,7 @@ def _open_counts(units: DataFrame) -> dict[int, int]:
 
 
 def cube(units: DataFrame, salt: int = 0, block: int = BLOCK) -> DataFrame:
-    """``units`` (src, doc_id, size, order, whole, p) with p drawn to 0 or 1.
+    """``units`` (src, doc_id, named, size, order, whole, p) with p drawn to 0 or 1.
 
     Flights in blocks of about ``block`` units of a source, then over what they leave open, then landing. A level turns a
     block into two open units, so the number of levels is the logarithm of the units, and no task holds a whole source.
@@ -143,15 +144,15 @@ def cube(units: DataFrame, salt: int = 0, block: int = BLOCK) -> DataFrame:
 
 
 def mix_sources(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, most: float = 2.0, salt: int = 0) -> DataFrame:
-    """One row per row of ``docs`` (not for null doc_ids): doc_id, source, size, source_size, target, copies, taken.
+    """One row per row of ``docs``: doc_id, source, size, source_size, target, copies, taken.
 
     Size is the number of words (null text: 0). A null source is a source of its own. Texts without words are taken 0 or more
-    times, which changes no word total. Rows that share a doc_id are drawn one by one. Draws depend on doc_id, source and
+    times, which changes no word total. Rows that share a doc_id or have none are drawn one by one. Draws depend on doc_id, source and
     size only, so that reruns agree. Other columns are not looked at. An empty table gives an empty result.
     """
     spark = docs.sparkSession
     sized = cut_lineage(
-        docs.filter("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), words(F.col("text")).alias("size"))
+        docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), words(F.col("text")).alias("size"))
     )
     # one row per source; its weight depends on the order of all sources
     totals = [(r.source, r.total) for r in sized.groupBy("source").agg(F.sum("size").alias("total")).collect()]
@@ -161,11 +162,11 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: fl
     whole = F.floor(F.col("rate") + TINY)
     part = F.col("rate") - whole
     units = sized.join(F.broadcast(table), sized["source"].eqNullSafe(table["source"])).select(
-        "src", "doc_id", "size", F.xxhash64("doc_id", "size", F.lit(salt)).alias("order"), whole.alias("whole"), F.when((part > TINY) & (F.col("size") > 0), part).otherwise(0.0).alias("p")
+        "src", F.coalesce("doc_id", F.lit(0).cast("long")).alias("doc_id"), F.col("doc_id").isNotNull().alias("named"), "size", F.xxhash64("doc_id", "size", F.lit(salt)).alias("order"), whole.alias("whole"), F.when((part > TINY) & (F.col("size") > 0), part).otherwise(0.0).alias("p")
     )
     copies = (F.col("whole") + F.col("p")).cast("int")
     return (
         cube(units, salt)
         .join(F.broadcast(table), "src")
-        .select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (F.col("size") * copies).alias("taken"))
+        .select(F.when(F.col("named"), F.col("doc_id")).alias("doc_id"), "source", "size", "source_size", "target", copies.alias("copies"), (F.col("size") * copies).alias("taken"))
     )

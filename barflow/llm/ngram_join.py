@@ -18,6 +18,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from barflow.llm.components import components
+from barflow.llm.groups import keep_one
+from barflow.llm.hot_keys import hot_parts, join_parts
 from barflow.llm.screens import shared_tokens
 from barflow.llm.words import LOWER, NOT_SPACE, inner, mix, runs, signed, slices, spread, split_words, utf8
 from barflow.session import cut_lineage
@@ -63,16 +65,22 @@ def _digests(doc: np.ndarray, grams: np.ndarray, n: int) -> tuple[np.ndarray, np
     return size, mix(total[bounds[1:]] - total[bounds[:-1]] + size.astype(U64) * U64(0x9E3779B97F4A7C15))
 
 
-def fingerprints(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, n_shingles and ``set`` (fingerprint of the shingle set) of each row."""
+def _printed(rows: DataFrame, k: int, keep: list[str], schema: str) -> DataFrame:
+    """Columns ``keep`` of ``rows``, n_shingles and ``set`` (fingerprint of the shingle set of ``_text``) of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches):
-            doc, grams = shingle_sets(*utf8(part.column("text")), k)
+        for part in slices(batches, "_text"):
+            doc, grams = shingle_sets(*utf8(part.column("_text")), k)
             size, digest = _digests(doc, grams, len(part))
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(size.astype(np.int64)), signed(digest)], ["doc_id", "n_shingles", "set"])
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(size.astype(np.int64)), signed(digest)], [*keep, "n_shingles", "set"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n_shingles long, set long")
+    return rows.mapInArrow(run, schema)
+
+
+def fingerprints(docs: DataFrame, k: int) -> DataFrame:
+    """doc_id, n_shingles and ``set`` (fingerprint of the shingle set) of each row."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("_text"))
+    return _printed(rows, k, ["doc_id"], "doc_id long, n_shingles long, set long")
 
 
 def _set_tokens(k: int):
@@ -197,11 +205,33 @@ def ngram_join(docs: DataFrame, like: Likeness = Likeness()) -> DataFrame:
     doc_ids repeat; a null doc_id stays null. Sets are told apart by 64-bit fingerprints, shingles by at least 48 bits.
     Other columns are not looked at.
     """
+    named = _classes(docs, like)
+    # classes of one row name themselves
+    least = named.filter("class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("first"), F.count("*").alias("m")).filter("m > 1")
+    out = join_parts(named, least.select("class", "first"), ["class"], hot_parts(least, ["class"], "m"), "left")
+    return out.select("doc_id", "n_shingles", F.coalesce("first", "doc_id").alias("component_id"))
+
+
+def _classes(docs: DataFrame, like: Likeness) -> DataFrame:
+    """doc_id, n_shingles, set and class of each row; a set without shingles has no class."""
     rows = cut_lineage(fingerprints(docs, like.k))
     sets = cut_lineage(shared_shingles(docs, like))
-    tied = link_sets(sets, like)
-    named = rows.join(tied.withColumnRenamed("node", "set"), "set", "left").withColumn("class", F.coalesce("component", "set"))
-    named = cut_lineage(named.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("class")).alias("class")))
-    # classes of one row name themselves
-    least = named.filter("class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).filter("n > 1").select("class", "first")
-    return named.join(least, "class", "left").select("doc_id", "n_shingles", F.coalesce("first", "doc_id").alias("component_id"))
+    tied = link_sets(sets, like).withColumnRenamed("node", "set")
+    counts = rows.groupBy("set").agg(F.count("*").alias("m"))
+    named = join_parts(rows, tied, ["set"], hot_parts(counts, ["set"], "m"), "left")
+    return cut_lineage(named.select("doc_id", "n_shingles", "set", F.when(F.col("n_shingles") > 0, F.coalesce("component", "set")).alias("class")))
+
+
+def drop_near_copies(docs: DataFrame, like: Likeness = Likeness()) -> DataFrame:
+    """``docs`` with one row of each group of linked texts: that with the smallest doc_id.
+
+    A row without doc_id only stays where no row of its group has one; of rows with the same doc_id in a group one stays.
+    Texts without words are linked with nothing and stay, null texts too.
+    """
+    named = _classes(docs, like).filter("class IS NOT NULL")
+    several = named.groupBy("class").agg(F.min("doc_id").alias("_best"), F.count("*").alias("n")).filter("n > 1")
+    sets = named.groupBy("set", "class").agg(F.count("*").alias("m"))
+    groups = sets.join(several, "class").select(F.col("set").alias("_key"), F.col("class").alias("_group"), "_best", "m")
+    plain = docs.withColumn("_text", F.col("text").cast("string"))
+    printed = _printed(plain, like.k, docs.columns, plain.drop("_text").withColumns({"n_shingles": F.lit(0).cast("long"), "set": F.lit(0).cast("long")}).schema)
+    return keep_one(printed.withColumnRenamed("set", "_key").drop("n_shingles"), None, cut_lineage(groups))

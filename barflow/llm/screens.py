@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barflow.llm.words import slices, spread
+from barflow.llm.words import give_back, slices, spread
 
 U64 = np.uint64
 _LOW = U64((1 << 48) - 1)
@@ -138,13 +138,16 @@ def _grouped(column: str, fold: Callable[[list[dict]], pa.RecordBatch]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[dict] = []
         for batch in batches:
-            for row in batch.to_pylist():
+            for i in range(len(batch)):  # a row at a time: blobs of a batch are not all copied at once
+                row = batch.slice(i, 1).to_pylist()[0]
                 if held and row[column] != held[0][column]:
                     yield fold(held)
                     held = []
                 held.append(row)
         if held:
             yield fold(held)
+        held = []
+        give_back()
 
     return run
 

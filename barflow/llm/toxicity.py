@@ -69,7 +69,7 @@ def ftrl(rows: list[tuple[np.ndarray, int]], p: Ftrl) -> np.ndarray:
     z, n = np.zeros(size), np.zeros(size)
     for _ in range(p.epochs):
         for at, y in rows:
-            at = np.append(at, size - 1)
+            at = np.append(at, np.int32(size - 1))
             zi, ni = z[at], n[at]
             shrunk = np.sign(zi) * np.maximum(np.abs(zi) - np.where(at == size - 1, 0.0, p.l1), 0.0)
             w = -shrunk / ((p.beta + np.sqrt(ni)) / p.alpha + p.l2)
@@ -103,7 +103,7 @@ def fit(docs: DataFrame, labels: DataFrame, p: Ftrl = Ftrl()) -> dict[int, float
         import pandas as pd
 
         rows = rows.sort_values(["rank", "at"])
-        w = ftrl([(np.frombuffer(a, np.int32).astype(np.int64), y) for a, y in zip(rows["at"], rows["y"], strict=True)], p)
+        w = ftrl([(np.frombuffer(a, np.int32), y) for a, y in zip(rows["at"], rows["y"], strict=True)], p)
         at = np.flatnonzero(w)
         return pd.DataFrame({"at": at, "w": w[at], "shard": key[0]})
 

@@ -6,6 +6,7 @@ text or word.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -18,7 +19,7 @@ _BASE = 0x5851F42D4C957F2D  # odd, so powers can be undone modulo 2**64
 _RUN_BASE = 0xD1342543DE82EF95
 
 #: Bytes of one slice of a batch; numpy temporaries take about 40 times as much.
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 1_000_000
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -54,8 +55,10 @@ class _Powers:
         self.up = self.down = np.ones(1, U64)
 
     def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.up) > 1 << 22 and n < 1 << 20:  # a very long text has passed
+            self.up = self.down = np.ones(1, U64)
         if len(self.up) < n:
-            size = max(n, 2 * len(self.up))
+            size = max(n, min(2 * len(self.up), 1 << 20))
             steps = np.full((2, size), 1, U64)
             steps[:, 1:] = np.array([[self.base], [self.inverse]], U64)
             self.up, self.down = np.cumprod(steps, axis=1, dtype=U64)
@@ -129,6 +132,16 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = SL
             end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + most, "right")) - 1)
             yield batch.slice(at, end - at)
             at = end
+    give_back()
+
+
+def give_back() -> None:
+    """Return freed memory to the machine at the end of a task: workers live on, and executors share a bound."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
 
 
 def runs(hashes: np.ndarray, k: int) -> np.ndarray:
