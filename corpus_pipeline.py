@@ -9,8 +9,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from barflow.llm import decontamination, exact_dedup, mixing, ngram_join, toxicity
 from barflow.session import shared_dir
@@ -18,36 +17,32 @@ from barflow.session import shared_dir
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
-def _without(docs: DataFrame, verdicts: DataFrame, kept: Column) -> DataFrame:
-    """``docs`` without the doc_ids of which no row is kept; rows without doc_id stay."""
-    gone = verdicts.groupBy("doc_id").agg(F.bool_or(kept).alias("kept")).filter("NOT kept AND doc_id IS NOT NULL").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
-
-
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the model calls toxic go."""
+    """Rows that the model calls toxic by their text go; a null or empty text is scored by the intercept, equal rows alike."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return toxicity.toxicity(docs, labels).filter("predicted = 0").select(docs.columns)
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the row with the largest doc_id stays."""
-    return _without(docs, exact_dedup.exact_dedup(docs, keep="largest"), F.col("kept"))
+    """Of equal texts the row with the largest doc_id stays, one of them where it repeats; null is the empty text, no doc_id comes last."""
+    return exact_dedup.drop_copies(docs, keep="largest")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the smallest doc_id stays."""
-    return _without(docs, ngram_join.ngram_join(docs), F.col("doc_id") == F.col("component_id"))
+    """Of each group of linked texts the row with the smallest doc_id stays, one of them where it repeats; no doc_id comes last.
+
+    Texts without words stay. Linked are texts as in ``op4``: sets of four words, at least 85 % alike.
+    """
+    return ngram_join.drop_near_copies(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a window of a benchmark item go."""
-    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return _without(docs, decontamination.decontaminate(docs, benchmark), ~F.col("contaminated"))
+    """Rows whose text holds a window of a benchmark item go, each judged by itself; null and empty texts stay."""
+    return decontamination.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """How often the mix takes each document (``copies``), and the words that makes."""
+    """How often the mix takes each row (``copies``), and the words that makes; rows without doc_id or words are kept, a null source is one of its own."""
     return mixing.mix_sources(docs).select("doc_id", "source", "size", "source_size", "target", "copies", "taken")
 
 
