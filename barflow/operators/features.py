@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
@@ -9,53 +11,47 @@ from barflow.config import LAYOUT, LIVE, Layout
 from barflow.operators.series import LocalOp, State, apply_local
 
 
-def ewm(df: DataFrame, name: str, value: Column, alpha: float, first_idx: int, w: WindowSpec, min_periods: int) -> DataFrame:
-    """Add the recursive mean y_t = (1-a) y_{t-1} + a x_t as one running sum of rescaled terms.
+def ewm_state(name: str, value: Callable[[WindowSpec], Column], alpha: float, first_idx: int = 0) -> State:
+    """The recursive mean y_t = (1-a) y_{t-1} + a x_t of ``value(w)`` from bar ``first_idx`` on; NULL counts as 0.
 
-    Inside a frame y_t = d^t * (carry + sum(a x_i d^-i)); the carry is the mean at the frame's first bar, which needs the bar
-    before it and so is known from the chunk before. Needs the state ``ewm_state(name, alpha)`` and one bar of look-back.
+    The first bar of a frame inside the series has no term: what came before it and its own term are carried in.
     """
-    decay = 1.0 - alpha
-    weight = (
-        F.when(F.col("bar_idx") == first_idx, F.lit(1.0))
-        .when((F.col("_pos") == 0) & (F.col("_from") > 0), F.lit(0.0))
-        .otherwise(F.lit(alpha))
-    )
-    term = F.coalesce(value, F.lit(0.0)) * weight * F.pow(F.lit(decay), -F.col("_pos"))
-    total = F.sum(term).over(w.rowsBetween(Window.unboundedPreceding, 0)) + F.coalesce(F.col(f"_carry_{name}"), F.lit(0.0))
-    df = df.withColumn(f"_state_{name}", total * F.pow(F.lit(decay), F.col("_pos")))
-    return df.withColumn(name, F.when(F.col("bar_idx") - first_idx + 1 >= max(min_periods, 1), F.col(f"_state_{name}")))
+    carried = (F.col("_pos") == 0) & (F.col("_from") > 0)
+    weight = F.when(F.col("bar_idx") == first_idx, F.lit(1.0)).when(carried, F.lit(0.0)).otherwise(F.lit(alpha))
+    return State(name, 1.0 - alpha, lambda w: F.coalesce(value(w), F.lit(0.0)) * weight)
 
 
-def ewm_state(name: str, alpha: float) -> State:
-    return State(name, 1.0 - alpha)
+def ewm(df: DataFrame, state: State, w: WindowSpec, first_idx: int = 0, min_periods: int = 1) -> DataFrame:
+    """Add the mean as one running sum of rescaled terms: y_t = d^t * (carry + sum(term_i d^-i)) inside a frame.
 
+    The carry is the mean at the frame's first bar; the op needs one bar of look-back. Without decay a mean is its last term.
+    """
+    carry = F.coalesce(F.col(f"_carry_{state.name}"), F.lit(0.0))
+    if state.decay:
+        scaled = state.term(w) * F.pow(F.lit(state.decay), -F.col("_pos"))
+        df = df.withColumn("_term", scaled)
+        total = F.sum("_term").over(w.rowsBetween(Window.unboundedPreceding, 0)) + carry
+        mean = total * F.pow(F.lit(state.decay), F.col("_pos"))
+    else:
+        df = df.withColumn("_term", state.term(w))
+        mean = F.when((F.col("_pos") == 0) & (F.col("_from") > 0), carry).otherwise(F.col("_term"))
+    return df.withColumn(state.name, F.when(F.col("bar_idx") - first_idx + 1 >= max(min_periods, 1), mean)).drop("_term")
 
-def true_range() -> LocalOp:
-    def apply(df: DataFrame, w: WindowSpec) -> DataFrame:
-        before = F.lag("close").over(w)
-        return df.withColumn(
-            "true_range",
-            F.greatest(
-                F.col("high") - F.col("low"),
-                F.abs(F.col("high") - before),
-                F.abs(F.col("low") - before),
-            ),
-        )
 
-    return LocalOp(1, 0, apply)
+def _true_range(w: WindowSpec) -> Column:
+    before = F.lag("close").over(w)
+    return F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - before), F.abs(F.col("low") - before))
+
+
+def true_range() -> LocalOp:
+    return LocalOp(1, 0, lambda df, w: df.withColumn("true_range", _true_range(w)))
 
 
 def wilder_atr(period: int = LIVE.period, warm_up: bool = True, name: str = "atr") -> LocalOp:
     """Average true range. ``warm_up`` hides the first ``period - 1`` values (live variant);
     without it the first value is high - low (research variant)."""
-    alpha = 1.0 / period
-
-    def apply(df: DataFrame, w: WindowSpec) -> DataFrame:
-        df = true_range().apply(df, w)
-        return ewm(df, name, F.col("true_range"), alpha, 0, w, period if warm_up else 1).drop("true_range")
-
-    return LocalOp(1, 0, apply, (ewm_state(name, alpha),))
+    mean = ewm_state(name, _true_range, 1.0 / period)
+    return LocalOp(1, 0, lambda df, w: ewm(df, mean, w, 0, period if warm_up else 1), (mean,))
 
 
 def log_return(name: str = "log_return") -> LocalOp:
@@ -67,18 +63,17 @@ def log_return(name: str = "log_return") -> LocalOp:
 
 def wilder_rsi(period: int = LIVE.period, name: str = "norm_rsi") -> LocalOp:
     """RSI on 0..1. All-gain windows give 1, windows without any move give NULL."""
-    alpha = 1.0 / period
+    move = lambda w: F.col("close") - F.lag("close").over(w)
+    gains = ewm_state("_gain", lambda w: F.greatest(move(w), F.lit(0.0)), 1.0 / period, 1)
+    losses = ewm_state("_loss", lambda w: F.greatest(-move(w), F.lit(0.0)), 1.0 / period, 1)
 
     def apply(df: DataFrame, w: WindowSpec) -> DataFrame:
-        df = df.withColumn("_move", F.col("close") - F.lag("close").over(w))
-        gain = F.greatest(F.col("_move"), F.lit(0.0))
-        loss = F.greatest(-F.col("_move"), F.lit(0.0))
-        df = ewm(ewm(df, "_gain", gain, alpha, 1, w, period), "_loss", loss, alpha, 1, w, period)
+        df = ewm(ewm(df, gains, w, 1, period), losses, w, 1, period)
         ratio = F.try_divide("_gain", "_loss")
         rsi = F.when((F.col("_loss") == 0) & (F.col("_gain") > 0), F.lit(1.0)).otherwise(1.0 - 1.0 / (1.0 + ratio))
-        return df.withColumn(name, rsi).drop("_move", "_gain", "_loss")
+        return df.withColumn(name, rsi).drop("_gain", "_loss")
 
-    return LocalOp(1, 0, apply, (ewm_state("_gain", alpha), ewm_state("_loss", alpha)))
+    return LocalOp(1, 0, apply, (gains, losses))
 
 
 def volatility_ratio() -> LocalOp:

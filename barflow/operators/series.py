@@ -200,10 +200,11 @@ def with_length(indexed: DataFrame, keys: Sequence[str] = ("symbol",), name: str
 # --------------------------------------------------------------------------- chunks with halo
 @dataclass(frozen=True)
 class State:
-    """A recursion y_t = decay * y_{t-1} + term over the whole series."""
+    """A recursion y_t = decay * y_{t-1} + term over the whole series; ``term(w)`` is the term of a bar in its frame."""
 
     name: str
     decay: float
+    term: Callable[[WindowSpec], Column]
 
 
 @dataclass(frozen=True)
@@ -211,8 +212,8 @@ class LocalOp:
     """Columns that need at most ``back`` earlier and ``ahead`` later bars of the same series.
 
     ``apply(df, w)`` adds columns to the chunked frame; ``w`` is the chunk window ordered by
-    ``bar_idx``. Ops passed together to ``apply_local`` share one shuffle and one sort. An op with
-    ``states`` adds ``_state_<name>`` per state and reads what came before from ``_carry_<name>``.
+    ``bar_idx``. Ops passed together to ``apply_local`` share one shuffle and one sort. An op reads
+    what its ``states`` were before the frame from ``_carry_<name>``.
     """
 
     back: int
@@ -230,22 +231,22 @@ def spread_halo(
     return df.withColumn(chunk, F.explode(F.sequence(first, last)))
 
 
-def _carries(framed: DataFrame, ops: Sequence[LocalOp], states: Sequence[State], keys: list[str], back: int, layout: Layout) -> DataFrame:
+def _carries(framed: DataFrame, states: Sequence[State], keys: list[str], back: int, size: int, layout: Layout) -> DataFrame:
     """``(keys, _chunk, _carry_<name>)``: each state at the first bar of a frame that does not begin the series.
 
-    A chunk adds the state it reaches from zero; what lies ``j`` chunks back is scaled by decay^(j * chunk_bars). Chunks
-    whose scale is zero in double precision are outside the sum, so a task sees a block of chunks and a few before it.
+    A chunk is a pair (decay, total): the state it reaches from zero is the sum of its terms, each scaled by the decay since
+    then, and what lies ``j`` chunks back is scaled by decay^(j * size). No op is run for it. Chunks whose scale is zero in
+    double precision are outside the sum, so a task sees a block of chunks and a few before it.
     """
-    size = layout.chunk_bars
-    fresh = framed.withColumns({f"_carry_{s.name}": F.lit(0.0) for s in states})
     w = Window.partitionBy(*keys, "_chunk").orderBy("bar_idx")
-    for op in ops:
-        fresh = op.apply(fresh, w)
     following = (F.col("_chunk") + 1) * size - back
-    totals = fresh.where((F.col("bar_idx") == following) & (following > 0)).select(*keys, "_chunk", *[F.col(f"_state_{s.name}").alias(s.name) for s in states])
+    terms = framed.select(*keys, "_chunk", "bar_idx", *[s.term(w).alias(s.name) for s in states])
+    totals = terms.where((F.col("bar_idx") <= following) & (following > 0)).groupBy(*keys, "_chunk").agg(
+        *[F.sum(F.col(s.name) * F.pow(F.lit(s.decay), following - F.col("bar_idx"))).alias(s.name) for s in states]
+    )
     scales = {s.name: math.pow(s.decay, size) for s in states}
     # 1e-330 times the largest double is zero
-    reach = max(math.ceil(1470 / (-math.log(s.decay) * size)) for s in states)
+    reach = max(math.ceil(1470 / (-math.log(s.decay) * size)) if s.decay else 1 for s in states)
     blocks = spread_halo(totals, reach, 0, layout.fanout, idx="_chunk", chunk="_block")
     before = Window.partitionBy(*keys, "_block").orderBy("_chunk").rowsBetween(-reach, 0)
     own = F.floor(F.col("_chunk") / layout.fanout) == F.col("_block")
@@ -274,17 +275,20 @@ def apply_local(
     ahead = sum(op.ahead for op in ops)
     size = layout.chunk_bars
     for s in states:
-        if (size + back + ahead) * -math.log(s.decay) > 690:
-            raise ValueError("chunk_bars is too large for this smoothing factor; pass a smaller layout")
+        # terms are rescaled within a frame by powers of the decay, which must stay finite
+        if s.decay:
+            size = min(size, int(690 / -math.log(s.decay)) - back - ahead)
+    if size < 1:
+        raise ValueError("the ops look too far around a bar for this smoothing factor")
     framed = spread_halo(indexed, back, ahead, size)
     framed = framed.withColumn("_from", F.col("_chunk") * size - back).withColumn("_pos", F.col("bar_idx") - F.col("_from"))
     if states:
-        framed = framed.join(_carries(framed, ops, states, keys, back, layout), [*keys, "_chunk"], "left")
+        framed = framed.join(_carries(framed, states, keys, back, size, layout), [*keys, "_chunk"], "left")
     w = Window.partitionBy(*keys, "_chunk").orderBy("bar_idx")
     for op in ops:
         framed = op.apply(framed, w)
     core = F.floor(F.col("bar_idx") / size).cast("bigint") == F.col("_chunk")
-    return framed.where(core).drop("_chunk", "_pos", "_from", *[f"_{kind}_{s.name}" for s in states for kind in ("carry", "state")])
+    return framed.where(core).drop("_chunk", "_pos", "_from", *[f"_carry_{s.name}" for s in states])
 
 
 def chunk_of(layout: Layout = LAYOUT, idx: str = "bar_idx") -> Column:

@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from barflow.config import LAYOUT, LIVE, Layout
-from barflow.operators.series import DAY_US, index_bars, with_length
+from barflow.operators.series import DAY_US, Measure, depth_chunks, index_bars, running, with_length
 from barflow.schemas import TRADE_FEATURES
+from barflow.session import cut_lineage
 
 
 def parse_exit_times(trades: DataFrame) -> DataFrame:
@@ -22,54 +23,54 @@ def trailing_trade_features(
     trades: DataFrame | None,
     days: int = LIVE.trade_lookback_days,
     by_symbol: bool = True,
-    timeframe_us: int = DAY_US,
     layout: Layout = LAYOUT,
 ) -> DataFrame:
     """Per bar: count, win rate, mean and deviation of P&L over trades that ended in the last
     ``days`` days, both ends included. NULL throughout when there is no trade log.
 
-    Bars and trades share one timeline, cut into time chunks; trades are copied into the next
-    chunks they can still reach. Bars read, trades contribute.
+    Time is cut into blocks as long as the look-back: a bar's trades are those of its own block up to it and those of the
+    block before from its first moment on. So a bar reads one prefix and one suffix sum, and nothing is subtracted. Trades
+    of one moment are summed first; blocks are scanned in chunks cut by counting, so no task holds a symbol's busy day.
     """
     if trades is None or trades.isEmpty():
         return bars.withColumns({c: F.lit(None).cast("double") for c in TRADE_FEATURES})
     span = days * DAY_US
-    width = 4 * span
     keys = ["symbol"] if by_symbol else []
-    if by_symbol:
-        asked = bars.select(*keys, F.unix_micros("ts").alias("_us"), F.struct("*").alias("_bar"))
-    else:
-        asked = bars.select(F.unix_micros("ts").alias("_us")).distinct()
-    asked = asked.withColumns({"_chunk": F.floor(F.col("_us") / width).cast("bigint"), "_ask": F.lit(True)})
-    ended = trades.where(F.col("exit_time").isNotNull()).select(
-        *keys, F.unix_micros("exit_time").alias("_us"), F.col("pnl_usd").alias("_pnl"), F.lit(False).alias("_ask")
+    # NaN is a missing value
+    ended = trades.where(F.col("exit_time").isNotNull()).withColumn("pnl_usd", F.when(~F.isnan("pnl_usd"), F.col("pnl_usd")))
+    middle = ended.agg(F.coalesce(F.avg("pnl_usd"), F.lit(0.0))).first()[0]  # keeps squares small
+    pnl = F.col("pnl_usd") - middle
+    moments = ended.groupBy(*keys, F.unix_micros("exit_time").alias("_us")).agg(
+        F.count("pnl_usd").alias("_n"), F.count_if(F.col("pnl_usd") > 0).alias("_wins"), F.sum(pnl).alias("_s"), F.sum(pnl * pnl).alias("_ss")
     )
-    first = F.floor(F.col("_us") / width).cast("bigint")
-    reach = F.floor((F.col("_us") + span) / width).cast("bigint")
-    ended = ended.withColumn("_chunk", F.explode(F.sequence(first, reach)))
-    line = asked.unionByName(ended, allowMissingColumns=True)
-    w = Window.partitionBy(*keys, "_chunk").orderBy("_us").rangeBetween(-span, 0)
-    pnl = F.col("_pnl")
-    n = F.count(pnl)
-    wins = F.count(F.when(pnl > 0, 1))
-    counted = line.withColumns(
-        {
-            "_n": n.over(w),
-            "_wins": wins.over(w),
-            "_mean": F.avg(pnl).over(w),
-            "_std": F.stddev_samp(pnl).over(w),
-        }
-    ).where("_ask")
-    values = {
+    asked = cut_lineage(bars.select(*keys, F.unix_micros("ts").alias("_bar")).distinct())
+    answers = _edge_sums(moments, asked, keys, span, False, layout).unionByName(_edge_sums(moments, asked, keys, span, True, layout))
+    n, s = F.sum("_n"), F.sum("_s")
+    counted = answers.groupBy(*keys, "_bar").agg(n.alias("_n"), F.sum("_wins").alias("_wins"), s.alias("_s"), F.sum("_ss").alias("_ss"))
+    spread = F.col("_ss") - F.col("_s") * F.col("_s") / F.col("_n")
+    spread = F.when(spread > F.col("_ss") * 1e-14, spread).otherwise(F.lit(0.0))  # below that it is rounding
+    columns = {
         "trade_count_30d": F.col("_n").cast("double"),
         "rolling_win_rate": F.coalesce(F.try_divide("_wins", "_n"), F.lit(0.0)),
-        "rolling_avg_pnl": F.coalesce("_mean", F.lit(0.0)),
-        "rolling_volatility": F.when(F.col("_n") > 1, F.col("_std")).otherwise(F.lit(0.0)),
+        "rolling_avg_pnl": F.when(F.col("_n") > 0, F.lit(middle) + F.try_divide("_s", "_n")).otherwise(F.lit(0.0)),
+        "rolling_volatility": F.when(F.col("_n") > 1, F.sqrt(F.try_divide(spread, F.col("_n") - 1))).otherwise(F.lit(0.0)),
     }
-    columns = [c.alias(name) for name, c in values.items()]
-    if by_symbol:
-        return counted.select("_bar.*", *columns)
-    return bars.join(counted.select(F.timestamp_micros("_us").alias("ts"), *columns), "ts")
+    told = counted.select(*keys, F.timestamp_micros("_bar").alias("ts"), *[c.alias(name) for name, c in columns.items()])
+    return bars.join(told, [*keys, "ts"])
+
+
+def _edge_sums(moments: DataFrame, asked: DataFrame, keys: list[str], span: int, suffix: bool, layout: Layout) -> DataFrame:
+    """``(keys, _bar, _n, _wins, _s, _ss)``: sums of a bar's block up to the bar, or of the block before from ``span`` ago on."""
+    names = ["_n", "_wins", "_s", "_ss"]
+    shift = span if suffix else 0
+    # at one moment the bar is read after the trades, in the direction of the scan
+    own = asked.select(*keys, "_bar", ((F.col("_bar") - shift) * 2 + (0 if suffix else 1)).alias("_at"))
+    line = moments.withColumn("_at", F.col("_us") * 2 + (1 if suffix else 0)).drop("_us").unionByName(own, allowMissingColumns=True)
+    line = line.withColumn("_block", F.floor(F.shiftright("_at", 1) / span).cast("bigint"))
+    dealt = depth_chunks(line, [*keys, "_block"], ["_at"], layout=layout)
+    measures = [Measure(f"t{c}", "sum", F.coalesce(F.col(c), F.lit(0))) for c in names]
+    summed = running(dealt, [*keys, "_block"], "_chunk", ["_at"], measures, layout, reverse=suffix)
+    return summed.where(F.col("_bar").isNotNull()).select(*keys, "_bar", *[F.col(f"t{c}").alias(c) for c in names])
 
 
 def retrain_due(counts: DataFrame, last: DataFrame, every: int = LIVE.retrain_every, key: str = "portfolio") -> DataFrame:

@@ -133,6 +133,22 @@ def volatility_ratio(spark, sf_dir):
     return out.select("symbol", "bar_idx", r("volatility_ratio"))
 
 
+SHORT_RSI = """
+smv AS (SELECT symbol, bar_idx, greatest(close - pc, 0) AS g, greatest(pc - close, 0) AS l FROM ib WHERE bar_idx >= 1),
+sgl AS (SELECT symbol, bar_idx, g, l FROM smv WHERE bar_idx = 1
+  UNION ALL SELECT m.symbol, m.bar_idx, e.g * 0.5e0 + m.g * 0.5e0, e.l * 0.5e0 + m.l * 0.5e0 FROM sgl e JOIN smv m ON m.symbol = e.symbol AND m.bar_idx = e.bar_idx + 1)"""
+
+
+@query(
+    "w6_wilder_rsi_short",
+    with_(BARS, SHORT_RSI, select="""SELECT ib.symbol, CAST(ib.bar_idx AS BIGINT) AS bar_idx, round(CASE WHEN ib.bar_idx < 2 OR (l = 0 AND g = 0) THEN NULL
+        WHEN l = 0 THEN 1 ELSE 1 - 1 / (1 + g / l) END, 6) AS norm_rsi FROM ib LEFT JOIN sgl USING (symbol, bar_idx)"""),
+)
+def wilder_rsi_short(spark, sf_dir):
+    out = apply_local(tables.indexed_daily(spark, sf_dir), features.wilder_rsi(2))
+    return out.select("symbol", "bar_idx", r("norm_rsi"))
+
+
 @query(
     "w6_wilder_rsi",
     with_(FEATURES, select="SELECT symbol, CAST(bar_idx AS BIGINT) AS bar_idx, round(norm_rsi, 6) AS norm_rsi FROM feats"),

@@ -33,12 +33,13 @@ SIZE = 0.00001
 
 def traded_series(spark, sf_dir):
     def apply(df, w):
-        df = features.ewm(df, "_smooth", F.col("close"), 1.0 / 14, 0, w, 1)
+        df = features.ewm(df, smoothed, w)
         raw = F.when(F.col("close") > F.col("open") * 2, 1).when(F.col("close") * 2 < F.col("open"), -1).otherwise(0)
         df = df.withColumn("signal", F.when(F.col("bar_idx") >= 10, raw))
         return df.withColumn("close", F.col("_smooth")).drop("_smooth")
 
-    smooth = LocalOp(1, 0, apply, (features.ewm_state("_smooth", 1.0 / 14),))
+    smoothed = features.ewm_state("_smooth", lambda w: F.col("close"), 1.0 / 14)
+    smooth = LocalOp(1, 0, apply, (smoothed,))
     out = apply_local(tables.indexed_daily(spark, sf_dir), features.volume_average(20), smooth)
     return out.select("symbol", "ts", "bar_idx", "signal", "close", "vma", F.lit(SIZE).alias("size"))
 

@@ -83,9 +83,29 @@ def test_rsi_edge_cases(spark):
     assert out[out.symbol == "flat"]["norm_rsi"].isna().all()
 
 
-def test_large_chunks_are_refused_for_fast_decay(bars):
+@pytest.mark.parametrize("period", [1, 2, 3, 5])
+@pytest.mark.parametrize("chunk_bars", [64, 2048])
+def test_short_periods(make_bars, period, chunk_bars):
+    local, df = make_bars({"a": 5000, "b": 63, "c": 1, "d": 2}, seed=11)
+
+    def means(g):
+        before = g["close"].shift(1)
+        tr = pd.concat([g["high"] - g["low"], (g["high"] - before).abs(), (g["low"] - before).abs()], axis=1).max(axis=1)
+        move = g["close"].diff().iloc[1:]
+        gain, loss = (side.clip(lower=0).ewm(alpha=1 / period, adjust=False, min_periods=period).mean() for side in (move, -move))
+        rsi = (1 - 1 / (1 + gain / loss.where(loss > 0))).mask((loss == 0) & (gain > 0), 1.0)
+        return pd.DataFrame({"atr": tr.ewm(alpha=1 / period, adjust=False, min_periods=period).mean(), "norm_rsi": rsi.reindex(g.index)})
+
+    expected = per_symbol(local, means)
+    got = collect(features.build_features(df, period, Layout(chunk_bars=chunk_bars, fanout=5)), "atr", "norm_rsi")
+    want = wanted(local, atr=expected["atr"], norm_rsi=expected["norm_rsi"])
+    np.testing.assert_allclose(got["atr"].astype(float), want["atr"], rtol=1e-11)
+    np.testing.assert_allclose(got["norm_rsi"].astype(float), want["norm_rsi"], rtol=1e-9, atol=1e-12)
+
+
+def test_ops_that_look_too_far(bars):
     with pytest.raises(ValueError):
-        apply_local(bars[1], features.wilder_atr(period=2), layout=Layout(chunk_bars=4096))
+        apply_local(bars[1], features.wilder_atr(period=2), features.volume_average(2000))
 
 
 def test_averages_do_not_depend_on_chunks(spark):
@@ -300,6 +320,36 @@ def test_exact_quantiles(spark):
         assert out["b", i] == 3.0
 
 
+@pytest.mark.parametrize("rows", [1, 16, 700])
+def test_quantiles_by_repeated_narrowing(spark, rows):
+    """Brackets above the row bound are cut again; no task sorts more than the bound."""
+    rng = np.random.default_rng(6)
+    hot = np.concatenate([rng.lognormal(0, 3, 30_000), -rng.lognormal(0, 3, 5_000), np.full(9_000, 1.5), [-np.inf, np.inf, 0.0, -0.0]])
+    rare = rng.normal(size=7)
+    frame = pd.DataFrame({"k": ["hot"] * len(hot) + ["rare"] * 7 + ["none"], "v": [*hot, *rare, None]})
+    df = spark.createDataFrame(frame).withColumn("v", F.when(~F.isnan("v"), F.col("v")))
+    points = [0.001, 0.25, 0.5, 0.9, 0.9999]
+    out = {(r.k, r.point_id): r.q for r in quantiles.exact_quantiles(df, "v", ["k"], points, Layout(chunk_rows=rows)).collect()}
+    assert set(out) == {(k, i) for k in ("hot", "rare") for i in range(5)}
+    for i, p in enumerate(points):
+        assert out["hot", i] == pytest.approx(np.quantile(hot, p), rel=1e-12) and out["rare", i] == pytest.approx(np.quantile(rare, p), rel=1e-12)
+
+
+def test_chunks_cut_by_counting(spark):
+    from barflow.operators.series import Measure, depth_chunks, running
+
+    rows = [("hot", 7, i) for i in range(3000)] + [("b", i % 5, i) for i in range(200)] + [(None, 1, 1)]
+    df = spark.createDataFrame(rows, "k string, t long, id long")
+    dealt = depth_chunks(df, ["k"], ["t", "id"], 100)
+    assert dealt.groupBy("_chunk").count().agg(F.max("count")).first()[0] <= 100 and dealt.count() == len(rows)
+    ends = dealt.groupBy("k", "_chunk").agg(F.min(F.struct("t", "id")).alias("a"), F.max(F.struct("t", "id")).alias("b")).orderBy("k", "_chunk").collect()
+    assert all(x.k != y.k or tuple(x.b) < tuple(y.a) for x, y in zip(ends, ends[1:], strict=False))
+    layout = Layout(fanout=3)
+    for exclusive in (False, True):
+        out = running(dealt, ["k"], "_chunk", ["t", "id"], [Measure("n", "sum", F.lit(1))], layout, exclusive=exclusive).where("k = 'hot'")
+        assert [r.n or 0 for r in out.orderBy("id").collect()] == [i + (not exclusive) for i in range(3000)]
+
+
 def numpy_psi(ref, cur, bins=10):
     edges = np.quantile(ref, np.linspace(0, 1, bins + 1))
     edges[0], edges[-1] = -np.inf, np.inf

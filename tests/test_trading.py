@@ -276,6 +276,75 @@ def test_trailing_trades_window_is_inclusive(spark):
     assert out[1].rolling_volatility == pytest.approx(np.std([1.0, -3.0], ddof=1)) and out[0].rolling_volatility == 0.0
 
 
+@pytest.mark.parametrize("by_symbol", [True, False])
+def test_trailing_trades_of_a_busy_day(spark, by_symbol):
+    """One symbol ends most trades on one day; sums come in chunks of 50 rows and equal plain filtering."""
+    from barflow.config import Layout
+
+    rng = np.random.default_rng(2)
+    when = [DAY + timedelta(days=40, microseconds=int(x)) for x in rng.integers(0, 5000, 1500)]
+    when += [DAY + timedelta(days=float(x)) for x in rng.integers(0, 150, 200)]
+    log = pd.DataFrame({"symbol": ["hot"] * 1500 + rng.choice(["hot", "b"], 200).tolist(), "exit_time": when, "pnl_usd": rng.normal(3, 50, 1700).round(3)})
+    log.loc[1600:1650, "pnl_usd"] = 7.25
+    log.loc[1699, "pnl_usd"] = None
+    bars = pd.DataFrame([(s, DAY + timedelta(days=i)) for s in ("hot", "b", "c") for i in range(0, 170)] + [("hot", DAY + timedelta(days=40, microseconds=2500))], columns=["symbol", "ts"])
+    out = trades.trailing_trade_features(spark.createDataFrame(bars), spark.createDataFrame(log), by_symbol=by_symbol, layout=Layout(chunk_rows=50, fanout=4))
+    got = {(r.symbol, r.ts): r for r in out.collect()}
+    assert len(got) == len(bars)
+    for symbol, ts in bars.itertuples(index=False):
+        own = log[(log.exit_time >= ts - timedelta(days=30)) & (log.exit_time <= ts) & ((log.symbol == symbol) | (not by_symbol))].pnl_usd.dropna()
+        r = got[symbol, ts.to_pydatetime()]
+        assert r.trade_count_30d == len(own)
+        assert r.rolling_win_rate == pytest.approx((own > 0).mean() if len(own) else 0.0)
+        assert r.rolling_avg_pnl == pytest.approx(own.mean() if len(own) else 0.0, abs=1e-9)
+        assert r.rolling_volatility == pytest.approx(own.std() if len(own) > 1 else 0.0, rel=1e-8, abs=1e-9)
+
+
+def test_partial_closes_against_a_queue(spark):
+    """First opened, first closed; what is asked beyond the open size is lost. Sizes are multiples of 1/4, so all is exact."""
+    from barflow.config import Layout
+    from barflow.operators import closes
+
+    rng = np.random.default_rng(4)
+    lots, fills, events = [], [], []
+    for portfolio, symbol, n in (("p", "hot", 400), ("p", "x", 30), ("q", "x", 5)):
+        for i in range(n):
+            ts = DAY + timedelta(days=int(rng.integers(0, 25)))
+            size = float(rng.integers(0, 12)) / 4
+            if rng.random() < 0.55:
+                lots.append((portfolio, symbol, f"{symbol}{i:04}", ts, float(rng.integers(50, 150)), "SELL" if i % 3 == 0 else "BUY", size))
+                events.append((portfolio, symbol, ts, 1, f"{symbol}{i:04}", size))
+            else:
+                fills.append((portfolio, symbol, f"f{i:04}", ts, float(rng.integers(50, 150)), "EXIT", size))
+                events.append((portfolio, symbol, ts, 0, f"f{i:04}", size))
+    want, queues = [], {}
+    for portfolio, symbol, _, kind, name, size in sorted(events, key=lambda e: (e[0], e[1], e[2], e[3], e[4])):
+        queue = queues.setdefault((portfolio, symbol), [])
+        if kind:
+            queue.append([name, size])
+            continue
+        while size > 0 and queue:
+            part = min(size, queue[0][1])
+            queue[0][1] -= part
+            size -= part
+            if part:
+                want.append((portfolio, symbol, queue[0][0], name, part, queue[0][1]))
+            if not queue[0][1]:
+                queue.pop(0)
+    lot_df = spark.createDataFrame(lots, "portfolio string, symbol string, position_id string, entry_time timestamp, entry_price double, side string, size double")
+    fill_df = spark.createDataFrame(fills, "portfolio string, symbol string, fill_id string, ts timestamp, price double, reason string, size double")
+    for rows in (7, 100_000):
+        out = closes.partial_closes(lot_df, fill_df, layout=Layout(chunk_rows=rows, fanout=4)).cache()
+        assert sorted((r.portfolio, r.symbol, r.position_id, r.fill_id, r.size, r.remaining_size) for r in out.collect()) == sorted(want)
+        left = {r.position_id: r.remaining_size for r in closes.open_lots(lot_df, out).where("portfolio = 'p'").collect()}
+        assert left == {n: s for (p, _), q in queues.items() for n, s in q if p == "p" and s > 0}
+    signed = closes.partial_closes(lot_df, fill_df, signed=True).collect()
+    assert all(r.pnl_usd == (r.exit_price - r.entry_price) * r.size * (-1 if r.side == "SELL" else 1) for r in signed)
+    named = closes.partial_closes(lot_df, fill_df.withColumn("position_id", F.lit("hot0000")), keys=("portfolio", "position_id"))
+    assert {r.position_id for r in named.collect()} <= {"hot0000"}
+    assert closes.partial_closes(lot_df.limit(0), fill_df).count() == closes.partial_closes(lot_df, fill_df.limit(0)).count() == 0
+
+
 def test_sample_guard(spark):
     with pytest.raises(ValueError):
         trades.require_samples(spark.range(119))
