@@ -6,25 +6,53 @@ import math
 from collections.abc import Callable, Sequence
 
 from pyspark.ml import Estimator
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from barflow.config import LAYOUT, Layout
 from barflow.ml.signal import SignalModel, forest, train
-from barflow.operators.series import Measure, exclusive_scan
+from barflow.operators.series import Measure, depth_chunks, exclusive_scan
 from barflow.session import cut_lineage
 
-def hash_rank(rows: DataFrame, keys: Sequence[str], hashed: str, tie: Sequence[str], name: str) -> DataFrame:
-    """Dense 0-based rank of ``hashed`` per key: position in a hash bucket + size of earlier buckets."""
-    bucketed = rows.withColumn("_b", F.shiftright(F.col(hashed), 48))  # top 16 bits, in hash order
-    sizes = bucketed.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("n"))
-    before = exclusive_scan(sizes, keys, "_b", [Measure("n", "sum")], levels=1)
-    w = Window.partitionBy(*keys, "_b").orderBy(hashed, *tie)
-    return (
-        bucketed.withColumn("_rn", F.row_number().over(w))
-        .join(before, [*keys, "_b"], "left")
-        .withColumn(name, F.coalesce("c_n", F.lit(0)) + F.col("_rn") - 1)
-        .drop("_b", "_rn", "c_n")
-    )
+#: Fixed values of the permutation: a prime below 2**31, multipliers of its keys, rounds, and most steps of a walk.
+PRIME, KEYS, ROUNDS, WALK = 2_147_483_629, (1_000_003, 8_191, 131, 31), 6, 16
+
+
+def numbered(rows: DataFrame, order: Sequence[str], name: str = "_id", layout: Layout = LAYOUT) -> DataFrame:
+    """``rows`` with their 0-based place along ``order`` (unique): place in a chunk and the rows of earlier chunks."""
+    dealt = depth_chunks(rows.withColumn("_all", F.lit(0)), ["_all"], order, layout=layout)
+    sizes = dealt.groupBy("_all", "_chunk").agg(F.count(F.lit(1)).alias("n"))
+    before = exclusive_scan(sizes, ["_all"], "_chunk", [Measure("n", "sum")], layout)
+    place = F.row_number().over(Window.partitionBy("_all", "_chunk").orderBy(*order)) - 1
+    joined = dealt.withColumn("_place", place).join(before, ["_all", "_chunk"], "left")
+    return joined.withColumn(name, F.coalesce("c_n", F.lit(0)) + F.col("_place")).drop("_all", "_chunk", "_place", "c_n")
+
+
+def permuted(x: Column, n: int, seed: int, *keys: Column) -> Column:
+    """Image of ``x`` under a permutation of 0 .. n - 1 that the seed and two small keys choose; no row has to know another.
+
+    A Feistel network on pairs (l, r) with l < a and r < b, a * b just above n: each round adds a function of one half to the
+    other, which can be undone. A number that leaves the range walks on along its cycle until it is back: for n up to 256 within
+    ``WALK`` steps, beyond but for a chance of n**(-WALK / 2).
+    """
+    a = max(1, math.isqrt(max(n - 1, 0)) + 1)
+    b = max(1, -(-n // a))
+    base = F.lit(seed * KEYS[0]).cast("bigint") + keys[0].cast("bigint") * KEYS[1] + keys[1].cast("bigint") * KEYS[2]
+
+    def turned(pair: Column, turn: Column) -> Column:
+        even = turn % 2 == 0
+        k = (base + turn.cast("bigint") * KEYS[3]) % PRIME
+        half = F.when(even, pair["r"]).otherwise(pair["l"])
+        # one name for what is used twice
+        t = F.transform(F.array((half * ((k * 48_271) % PRIME) + (k * 40_692) % PRIME) % PRIME), lambda t: (t * (t + k)) % PRIME)[0]
+        return F.struct(F.when(even, (pair["l"] + t) % a).otherwise(pair["l"]).alias("l"), F.when(even, pair["r"]).otherwise((pair["r"] + t) % b).alias("r"))
+
+    def once(x: Column) -> Column:
+        pair = F.struct(F.floor(x / b).cast("bigint").alias("l"), (x % b).cast("bigint").alias("r"))
+        return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), pair, turned, lambda p: p["l"] * b + p["r"])
+
+    walked = F.aggregate(F.sequence(F.lit(1), F.lit(WALK - 1)), once(x.cast("bigint")), lambda at, _: F.when(at < n, at).otherwise(once(at)))
+    return walked.cast("bigint")
 
 
 def permutation_importance(
@@ -37,13 +65,13 @@ def permutation_importance(
 ) -> DataFrame:
     """``(feature, importance)``: accuracy lost when one feature is shuffled, averaged over repeats.
 
-    All (feature, repeat) variants are scored in one pass. A shuffle pairs each row with the row
-    of the same rank under a seeded hash, so it is an equality join.
+    All (feature, repeat) variants are scored in one pass. The row that gives its value is computed from the row's number, so
+    a shuffle is an equality join with the table itself.
     """
     names = model.features
     base = rows.select(*row_key, *names, label).dropna("any", subset=[*names, label])
-    base = base.withColumn("_h", F.xxhash64(F.lit(seed), *row_key)).withColumn("_all", F.lit(0))
-    base = cut_lineage(hash_rank(base, ["_all"], "_h", row_key, "_id").drop("_h", "_all"))
+    base = cut_lineage(numbered(base, row_key))
+    n = base.count()
     right = F.avg((F.col("prediction") == F.col(label)).cast("double"))
     baseline = model.score(base).agg(right.alias("_base"))
 
@@ -51,11 +79,10 @@ def permutation_importance(
         F.array(*[F.struct(F.lit(i).alias("f"), F.lit(rep).alias("rep")) for i in range(len(names)) for rep in range(n_repeats)])
     )
     spread = base.select("*", variants.alias("_v")).select(*base.columns, "_v.f", "_v.rep")
-    value = F.get(F.array(*[F.col(n) for n in names]), F.col("f"))
-    donors = spread.select("f", "rep", "_id", value.alias("_new"), F.xxhash64(F.lit(seed + 1), "f", "rep", "_id").alias("_h"))
-    donors = hash_rank(donors, ["f", "rep"], "_h", ["_id"], "_to").select("f", "rep", F.col("_to").alias("_id"), "_new")
-    shuffled = spread.join(donors, ["f", "rep", "_id"]).withColumns(
-        {n: F.when(F.col("f") == i, F.col("_new")).otherwise(F.col(n)) for i, n in enumerate(names)}
+    spread = spread.withColumn("_donor", permuted(F.col("_id"), n, seed, F.col("f"), F.col("rep")))
+    donors = base.select(F.col("_id").alias("_donor"), F.array(*names).alias("_values"))
+    shuffled = spread.join(donors, "_donor").withColumns(
+        {name: F.when(F.col("f") == i, F.get("_values", F.lit(i))).otherwise(F.col(name)) for i, name in enumerate(names)}
     )
     lost = model.score(shuffled).groupBy("f", "rep").agg(right.alias("_acc"))
     label_name = F.get(F.array(*[F.lit(n) for n in names]), F.col("f")).alias("feature")

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.ml import Estimator, Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, OneVsRest, RandomForestClassifier
+from pyspark.ml.classification import GBTClassifier, NaiveBayes, OneVsRest, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
@@ -31,6 +31,11 @@ def boosted(trees: int = 300, rate: float = 0.05, depth: int = 5, seed: int = 42
     return OneVsRest(classifier=inner, featuresCol="_x", labelCol="_y", rawPredictionCol="rawPrediction", parallelism=3)
 
 
+def bayes() -> Estimator:
+    """Gaussian naive Bayes: counts, means and variances per class, all from one aggregate."""
+    return NaiveBayes(featuresCol="_x", labelCol="_y", modelType="gaussian")
+
+
 @dataclass
 class SignalModel:
     """A fitted pipeline with the features and the number of rows it was trained on."""
