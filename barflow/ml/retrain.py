@@ -40,14 +40,15 @@ def retrain(
     estimator: Estimator | None = None,
     expiry: str = "null",
     trees: int = 300,
+    timeframe_us: int = DAY_US,
 ) -> tuple[SignalModel, DataFrame]:
-    """Train on the first 80 % of every series, test on the rest, save the model.
+    """Train on the first 80 % of every series of bars of ``timeframe_us``, test on the rest, save the model.
 
     Returns the model and one row of metrics.
     """
     begun = time.time()
     names = [*FEATURES, *TRADE_FEATURES]
-    table = cut_lineage(chronological_split(training_table(indexed, trades, expiry), 0.8))
+    table = cut_lineage(chronological_split(training_table(indexed, trades, expiry, timeframe_us), 0.8))
     n = require_samples(table, LIVE.min_samples)
     model = train(table.where("in_sample"), names, estimator=estimator or forest(trees))
     parts = model.score(table).groupBy("in_sample").agg(accuracy(F.col("prediction"), F.col("label")).alias("acc"))

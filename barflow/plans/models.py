@@ -23,7 +23,7 @@ from barflow.schemas import FEATURES
 from barflow.session import cut_lineage, shared_dir
 from barflow.sources import tables
 
-#: Published sizes: trees of a signal forest, of a forest for feature shares, and of both models of meta-labelling.
+#: Published sizes: trees of a signal forest, of a forest for feature importance and shares, and of both models of meta-labelling.
 TREES, SHARE_TREES, META_TREES = 300, 50, 100
 
 
@@ -93,7 +93,7 @@ def estimator_grid(spark, sf_dir):
 @query("m6_permutation_importance")
 def permutation_importance(spark, sf_dir):
     rows = labelled(spark, sf_dir)
-    model = signal.train(rows, estimator=signal.forest(TREES))
+    model = signal.train(rows, estimator=signal.forest(SHARE_TREES))
     return importance.permutation_importance(model, rows, n_repeats=5)
 
 
@@ -226,7 +226,7 @@ def meta_labelling_bayes(spark, sf_dir):
 @query("k3_top_features")
 def top_features(spark, sf_dir):
     rows = labelled(spark, sf_dir)
-    kept, scores = importance.prune_features(rows, FEATURES, lambda: signal.forest(TREES), keep=2, n_repeats=5)
+    kept, scores = importance.prune_features(rows, FEATURES, lambda: signal.forest(SHARE_TREES), keep=2, n_repeats=5)
     return scores.withColumn("kept", F.col("feature").isin(*kept))
 
 
