@@ -138,12 +138,6 @@ def test_importance_ranks_informative_features(labelled):
         importance.keep_features(scores)
 
 
-def test_hash_rank_is_a_permutation(spark):
-    rows = spark.range(5000).withColumn("k", F.lit(1)).withColumn("h", F.xxhash64("id"))
-    out = importance.hash_rank(rows, ["k"], "h", ["id"], "rank")
-    assert out.agg(F.min("rank"), F.max("rank"), F.countDistinct("rank")).first() == (0, 4999, 5000)
-
-
 def test_meta_model(spark, labelled):
     model = meta.fit_meta(labelled, NAMES, primary=signal.forest(5, maxDepth=2), meta=signal.forest(10))
     out = model.predict(labelled, 0.6)
@@ -232,3 +226,28 @@ def test_admission(spark):
     sig = spark.createDataFrame([("a", "BUY", 10.0), ("b", "BUY", 10.0), ("c", "SIT_OUT", 10.0)], "symbol string, signal string, price double")
     held = spark.createDataFrame([("a",)], "symbol string")
     assert [r.symbol for r in portfolio.admit(sig, held).collect()] == ["b"]
+
+
+def test_permutation_is_computed(spark):
+    """Every size gives a permutation; seeds and keys give different ones."""
+    from barflow.ml.importance import permuted
+
+    for n in (1, 2, 3, 5, 12, 257, 1000):
+        df = spark.range(n).select("id", F.explode(F.array(*[F.struct(F.lit(f).alias("f"), F.lit(rep).alias("rep")) for f, rep in ((0, 0), (0, 1), (3, 0))])).alias("v"))
+        out = df.select("id", "v", permuted(F.col("id"), n, 42, F.col("v.f"), F.col("v.rep")).alias("to")).collect()
+        images = {}
+        for r in out:
+            images.setdefault(tuple(r.v), {})[r.id] = r.to
+        assert all(sorted(x.values()) == list(range(n)) for x in images.values())
+        if n > 100:
+            orders = [tuple(x[i] for i in range(n)) for x in images.values()]
+            assert len(set(orders)) == 3 and all(sum(a == i for i, a in enumerate(o)) < 8 for o in orders)
+
+
+def test_rows_are_numbered_along_their_order(spark):
+    from barflow.config import Layout
+    from barflow.ml.importance import numbered
+
+    df = spark.range(500).select(F.concat(F.lit("s"), F.col("id") % 3).alias("symbol"), (F.col("id") * 7919 % 1009).alias("ts"))
+    out = numbered(df, ["symbol", "ts"], layout=Layout(chunk_rows=37, fanout=3)).orderBy("symbol", "ts").collect()
+    assert [r["_id"] for r in out] == list(range(500))
