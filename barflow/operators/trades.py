@@ -66,10 +66,10 @@ def _edge_sums(moments: DataFrame, asked: DataFrame, keys: list[str], span: int,
     # at one moment the bar is read after the trades, in the direction of the scan
     own = asked.select(*keys, "_bar", ((F.col("_bar") - shift) * 2 + (0 if suffix else 1)).alias("_at"))
     line = moments.withColumn("_at", F.col("_us") * 2 + (1 if suffix else 0)).drop("_us").unionByName(own, allowMissingColumns=True)
-    line = line.withColumn("_block", F.floor(F.shiftright("_at", 1) / span).cast("bigint"))
-    dealt = depth_chunks(line, [*keys, "_block"], ["_at"], layout=layout)
+    line = line.withColumn("_era", F.floor(F.shiftright("_at", 1) / span).cast("bigint"))
+    dealt = depth_chunks(line, [*keys, "_era"], ["_at"], layout=layout)
     measures = [Measure(f"t{c}", "sum", F.coalesce(F.col(c), F.lit(0))) for c in names]
-    summed = running(dealt, [*keys, "_block"], "_chunk", ["_at"], measures, layout, reverse=suffix)
+    summed = running(dealt, [*keys, "_era"], "_chunk", ["_at"], measures, layout, reverse=suffix)
     return summed.where(F.col("_bar").isNotNull()).select(*keys, "_bar", *[F.col(f"t{c}").alias(c) for c in names])
 
 
