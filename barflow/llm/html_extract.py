@@ -35,8 +35,15 @@ CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "td": {"td", "th
 
 NOISE_NAMES = set(
     "ad ads advert adverts advertisement banner promo sponsor sponsored nav navbar navigation menu breadcrumb breadcrumbs sidebar widget widgets footer masthead cookie cookies consent notice "
-    "gdpr popup modal overlay newsletter subscribe signup login share sharing social related recommended comment comments disqus reply replies pagination pager toolbar skip".split()
+    "gdpr popup modal overlay newsletter subscribe signup login share sharing social related recommended comment comments disqus reply replies pagination pager toolbar skip commentlist thread threads discussion respond complementary contentinfo search".split()
 )
+#: Words that stand beside a noise word in the name of a box of noise; in an article any other word gives the name a meaning of its own.
+LAYOUT_NAMES = set(
+    "area articles bar block body bottom box button buttons container content form header icons inner item items left link links list outer panel post posts right "
+    "section slot title top unit wrap wrapper".split()
+)
+#: Whole names of page headers, where they stand outside the article.
+HEADER_NAMES = set("header site-header page-header main-header global-header top-header".split())
 CONTENT_NAMES = set("article post entry content story body main".split())
 
 _ATTRS = r"(?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+"
@@ -58,6 +65,9 @@ class Block:
     content: bool
     heading: bool
     linked: int
+    #: Within an article or main element, with no noise between.
+    inside: bool = False
+    title: bool = False
 
 
 @dataclass(frozen=True)
@@ -71,7 +81,10 @@ class Costs:
     most_words: int = 30
     marks: float = 0.5
     links: float = -4.0
+    links_inside: float = -1.0
     heading: float = 1.0
+    title: float = 1.5
+    bare: float = 1.5
     next_same: float = 0.6
     next_other: float = 0.2
     same_parent: float = 0.4
@@ -109,6 +122,11 @@ def _hidden(page: str) -> dict[int, int]:
     return ends
 
 
+def _is_noise(name: set[str]) -> bool:
+    """Whether a name, cut into words, means nothing but noise: noise words, layout words, numbers and sizes."""
+    return all(w in NOISE_NAMES or w in LAYOUT_NAMES or not w or w[0].isdigit() or len(w) == 1 for w in name)
+
+
 def blocks(page: str, costs: Costs = Costs()) -> list[Block]:
     """Blocks of a page in order. Unclosed and stray tags are taken as browsers do in the plain cases."""
     out: list[Block] = []
@@ -122,7 +140,8 @@ def blocks(page: str, costs: Costs = Costs()) -> list[Block]:
             top = next(e for e in reversed(stack) if e.tag == "" or e.tag in BLOCK)
             box = next((e.box for e in reversed(stack) if e.tag not in ("p", "li", "b") and (e.tag == "" or e.tag in BLOCK)), 0)
             heading = len(top.tag) == 2 and top.tag[0] == "h" and top.tag[1].isdigit()
-            out.append(Block(text, box, stack[-1].noise, stack[-1].content, heading, state["linked"]))
+            inner = stack[-1]
+            out.append(Block(text, box, inner.noise, inner.content, heading, state["linked"], inner.depth > 0 and not inner.noise, top.tag == "h1"))
         held.clear()
         state["linked"] = 0
 
@@ -191,10 +210,13 @@ def blocks(page: str, costs: Costs = Costs()) -> list[Block]:
             noise, firm = costs.noise, firm or tag != "form"
         if m["attrs"] and "=" in m["attrs"]:
             named = ["".join(g).lower() for g in _NAMED.findall(m["attrs"])]
-            names = set(re.split(r"[^a-z0-9]+", " ".join(named)))
+            parts = [set(re.split(r"[^a-z0-9]+", x)) for x in " ".join(named).split()]
+            names = set().union(*parts)
+            if not content and tag in BLOCK and HEADER_NAMES & set(" ".join(named).split()):
+                noise = costs.noise
             if names & NOISE_NAMES and tag not in ("body", "html", "main"):
-                parts = [set(re.split(r"[^a-z0-9]+", x)) for x in " ".join(named).split()]
-                if not any(x & CONTENT_NAMES and not x & NOISE_NAMES for x in parts):
+                silent = [x for x in parts if x & NOISE_NAMES and (not depth or _is_noise(x))]
+                if silent and not any(x & CONTENT_NAMES and not x & NOISE_NAMES for x in parts):
                     noise, plain = costs.noise, plain or any(x <= NOISE_NAMES for x in parts)
             elif names & CONTENT_NAMES and tag in BLOCK:
                 content = True
@@ -209,7 +231,8 @@ def blocks(page: str, costs: Costs = Costs()) -> list[Block]:
 def score(b: Block, costs: Costs) -> float:
     """Log odds that a block is content."""
     words = b.text.count(" ") + 1
-    s = costs.bias + b.noise + costs.words * min(words, costs.most_words) + costs.links * min(1.0, b.linked / words)
+    s = costs.bias + b.noise + costs.words * min(words, costs.most_words)
+    s += (costs.links_inside if b.inside else costs.links) * min(1.0, b.linked / words)
     s += costs.inside * b.content + costs.heading * (b.heading and b.content)
     return s + costs.marks * (b.text[-1] in ".!?:;…\"'")
 
@@ -265,6 +288,14 @@ def cut(scores: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
     return side
 
 
+def scores(found: list[Block], costs: Costs) -> list[float]:
+    """Log odds of a page's blocks. A page that marks no content takes every block for likelier content; a main heading
+    outside the marked content counts as its title, unless there is one inside."""
+    marked = any(b.content and not b.noise for b in found)
+    titled = any(b.title and b.content and not b.noise for b in found)
+    return [score(b, costs) + (0.0 if marked else costs.bare) + costs.title * (marked and not titled and b.title and not b.noise) for b in found]
+
+
 def main_text(page: str, costs: Costs = Costs()) -> str:
     """Content blocks of a page, one per line."""
     found = blocks(page, costs)
@@ -275,7 +306,7 @@ def main_text(page: str, costs: Costs = Costs()) -> str:
         if last.get(b.parent, i - 1) != i - 1:
             edges.append((last[b.parent], i, costs.same_parent))
         last[b.parent] = i
-    side = cut([score(b, costs) for b in found], edges)
+    side = cut(scores(found, costs), edges)
     return "\n".join(b.text for b, x in zip(found, side, strict=True) if x)
 
 
@@ -283,7 +314,8 @@ def extract(pages: DataFrame, costs: Costs = Costs()) -> DataFrame:
     """One row per row of ``pages``: page_id, url, text.
 
     A null or empty html gives an empty text. Markup, comments, scripts and styles are no text; character references are
-    decoded. A page that ends early is read as far as it goes. Other columns are not looked at.
+    decoded. A page that ends early is read as far as it goes. Lists of links and oddly named elements of an article are text; a
+    page without article, main or named content is text where nothing marks noise. Other columns are not looked at.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -226,6 +226,54 @@ def test_noise_found_inside_stays(page):
     assert html_extract.main_text(page.format("<p>The story.</p>", "<p>Not a part of it.</p>")) == "The story."
 
 
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        ("<article><h1>Head</h1><p>Sources used here.</p><ul><li><a href=a>First source</a></li><li><a href=b>Second source</a></li><li><a href=c>Third</a></li></ul></article>", "Head\nSources used here.\nFirst source\nSecond source\nThird"),
+        ("<main><p>Read on.</p><ol><li><a href=a>Part</a></ol></main>", "Read on.\nPart"),
+        ("<article><p class='social-contract'>One text.</p><div class='related-work'>Two texts.</div><div class='related-posts'>Not this.</div><p>Three.</p></article>", "One text.\nTwo texts.\nThree."),
+        ("<article><p>Text.</p><div class='ad-300x250'>Buy.</div><div class='comments-list'>Hm.</div><div id='share_buttons_2'>Tell</div></article>", "Text."),
+        ("<div>One</div><div>Two words</div>", "One\nTwo words"),
+        ("<div class=header>Site</div><ul><li><a href=/>Home</a></ul><div>One</div><div>Two words</div><div class='site-footer'>All rights.</div>", "One\nTwo words"),
+        ("<header><h1>Site</h1></header><h1>Title of it</h1><article><p>The story.</p></article>", "Title of it\nThe story."),
+        ("<div><h1>Site name</h1></div><div><article><h1>Title</h1><p>The story.</p></article></div>", "Title\nThe story."),
+        ("<article><p>The story.</p></article><div class='thread'><p>Not so, as I see it, and neither does anybody else.</p></div>", "The story."),
+        ("<article><p>The story.</p><div class='thread'><article><p>Not so.</p></article></div></article>", "The story."),
+    ],
+)
+def test_article_text_is_whole(page, want):
+    assert html_extract.main_text(page) == want
+
+
+def test_page_cut_against_enumeration():
+    """Whole pages: the labels are those of the cheapest of all labellings."""
+    rng, costs = random.Random(9), html_extract.Costs()
+    pieces = ["<p>Some words.</p>", "<ul><li><a href=x>Link</a><li>Item</ul>", "<nav><p>Menu</p></nav>", "<h1>Head</h1>", "<div class=ad>Buy it now.</div>", "<article><p>A story.</p><p>More</p></article>"]
+    for _ in range(80):
+        page = "".join(rng.choice(pieces) for _ in range(rng.randint(1, 4)))
+        found = html_extract.blocks(page)
+        odds = html_extract.scores(found, costs)
+        pairs = list(itertools.combinations(range(len(found)), 2))
+
+        def weight(i, j):
+            same = found[i].parent == found[j].parent
+            if j == i + 1:
+                return costs.next_same if same else costs.next_other
+            return costs.same_parent * (same and all(b.parent != found[i].parent for b in found[i + 1 : j]))
+
+        def cost(side):
+            return sum(-s if x else s for s, x in zip(odds, side, strict=True)) / 2 + sum(weight(i, j) for i, j in pairs if side[i] != side[j])
+
+        taken = set(html_extract.main_text(page).split("\n")) - {""}
+        best = min(itertools.product([False, True], repeat=len(found)), key=cost)
+        assert taken == {b.text for b, x in zip(found, best, strict=True) if x}, page
+
+
+def test_empty_table_of_pages(spark):
+    pages = spark.createDataFrame([], "page_id long, url string, html string, lang string")
+    assert html_extract.extract(pages).collect() == []
+
+
 @pytest.mark.parametrize("tag", ["button", "select", "svg", "object", "noscript", "template", "iframe"])
 def test_unclosed_elements_do_not_swallow_the_page(tag):
     for rest in ("", f"<{tag}>x</{tag}>", f"<!-- </{tag}> -->"):
