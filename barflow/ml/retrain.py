@@ -16,19 +16,23 @@ from barflow.operators.barriers import live_barrier
 from barflow.operators.cv import chronological_split
 from barflow.operators.features import feature_op
 from barflow.operators.series import DAY_US, apply_local, index_bars
-from barflow.operators.trades import require_samples, trailing_trade_features
+from barflow.operators.trades import last_bars, require_samples, trailing_trade_features
 from barflow.schemas import EVOLUTION_COLUMNS, FEATURES, TRADE_FEATURES
 from barflow.session import cut_lineage
 from barflow.sources.sinks import append_evolution
 
 
+def _names(trades: DataFrame | None) -> list[str]:
+    return [*FEATURES] if trades is None else [*FEATURES, *TRADE_FEATURES]
+
+
 def training_table(
     indexed: DataFrame, trades: DataFrame | None, expiry: str = "null", timeframe_us: int = DAY_US, layout: Layout = LAYOUT
 ) -> DataFrame:
-    """Bar features, trade-log features and labels without incomplete rows, numbered anew."""
+    """Bar features, trade-log features (if there is a log) and labels without incomplete rows, numbered anew."""
     framed = apply_local(indexed, feature_op(), live_barrier(expiry=expiry), layout=layout)
-    full = trailing_trade_features(framed, trades)
-    clean = full.dropna("any", subset=[*FEATURES, *TRADE_FEATURES, "label"])
+    full = framed if trades is None else trailing_trade_features(framed, trades)
+    clean = full.dropna("any", subset=[*_names(trades), "label"])
     return index_bars(clean.drop("bar_idx"), timeframe_us=timeframe_us, layout=layout)
 
 
@@ -41,20 +45,25 @@ def retrain(
     expiry: str = "null",
     trees: int = 300,
     timeframe_us: int = DAY_US,
+    window: int | None = None,
+    tag: str | None = None,
 ) -> tuple[SignalModel, DataFrame]:
     """Train on the first 80 % of every series of bars of ``timeframe_us``, test on the rest, save the model.
 
-    Returns the model and one row of metrics.
+    Without a trade log (``trades`` is None) the bar features alone are used. ``window`` keeps the newest labelled rows of
+    each symbol. The model's folder is named by ``tag``, else by the time. Returns the model and one row of metrics.
     """
     begun = time.time()
-    names = [*FEATURES, *TRADE_FEATURES]
-    table = cut_lineage(chronological_split(training_table(indexed, trades, expiry, timeframe_us), 0.8))
+    names = _names(trades)
+    full = training_table(indexed, trades, expiry, timeframe_us)
+    if window:
+        full = index_bars(cut_lineage(last_bars(full, window).drop("bar_idx")), timeframe_us=timeframe_us)
+    table = cut_lineage(chronological_split(full, 0.8))
     n = require_samples(table, LIVE.min_samples)
     model = train(table.where("in_sample"), names, estimator=estimator or forest(trees))
     parts = model.score(table).groupBy("in_sample").agg(accuracy(F.col("prediction"), F.col("label")).alias("acc"))
     found = {row.in_sample: row.acc for row in parts.collect()}  # two rows
-    tag = datetime.now(timezone.utc).strftime("%Y%m%dT%H%M%SZ")
-    target = f"{path}/model_{tag}"
+    target = f"{path}/model_{tag or datetime.now(timezone.utc).strftime('%Y%m%dT%H%M%SZ')}"
     model.save(target)
     spark = indexed.sparkSession
     row = {
@@ -69,7 +78,7 @@ def retrain(
         "trade_count": 0 if trades is None else trades.count(),
         "duration_seconds": round(time.time() - begun, 3),
         "model_path": target,
-        "notes": "features: " + ", ".join(TRADE_FEATURES),
+        "notes": "features: " + ", ".join(names[len(FEATURES) :] or names),
     }
     schema = (
         "timestamp string, trigger string, n_features bigint, n_samples bigint, n_estimators bigint, learning_rate double, "

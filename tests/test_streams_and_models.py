@@ -14,7 +14,7 @@ from barflow.operators.series import apply_local
 from barflow.schemas import FEATURES, OHLCV, TRADE_COLUMNS
 from barflow.sources import bars as scans
 from barflow.sources import sinks, snapshots
-from barflow.streaming import batches, run, state
+from barflow.streaming import batches, models, run, state
 from barflow.streaming.bars import closed_bars
 
 DAY = datetime(2024, 1, 1)
@@ -174,6 +174,41 @@ def test_milestone_retrain(spark, make_bars, tmp_path):
     assert signal.SignalModel.load(spark, row.model_path).features == model.features
 
 
+def test_new_bars_publish_versions_and_the_newest_scores(spark, make_bars, tmp_path):
+    _, df = make_bars({"a": 450}, seed=3)
+    bars = df.select("symbol", "ts", "open", "high", "low", "close", "volume", "bar_idx")
+    store = models.ModelStore(str(tmp_path / "m"))
+    scorer = models.Scorer(store, str(tmp_path / "s"))
+    rows = apply_local(df, features.feature_op()).where(F.col("bar_idx") >= 400)
+    scorer(rows, 0)
+    assert store.newest(spark) is None and scorer.results(spark).isEmpty()
+
+    trigger = batches.RetrainTrigger(str(tmp_path / "r"), models.on_bars(store, expiry="zero", estimator=signal.bayes(), window=150), every=100)
+    for k, (low, high) in enumerate([(0, 250), (250, 290), (290, 450)]):
+        part = bars.where((F.col("bar_idx") >= low) & (F.col("bar_idx") < high)).drop("bar_idx")
+        trigger(part, k)
+        before = {r.version: r.timestamp for r in store.versions(spark).collect()}
+        trigger(part, k)  # a replay trains nothing
+        assert before == {r.version: r.timestamp for r in store.versions(spark).collect()}
+    assert sorted(r.milestone for r in trigger.triggers(spark).collect()) == [200, 400]
+    made = {r.version: r for r in store.versions(spark).collect()}
+    assert sorted(made) == [200, 400] and {r.n_samples for r in made.values()} == {150} and all(r.n_features == 4 for r in made.values())
+
+    scorer(rows, 1)
+    scorer(rows, 1)
+    want = signal.SignalModel.load(spark, made[400].model_path).signals(rows.dropna("any")).select("ts", "p_tp").orderBy("ts").collect()
+    assert scorer.results(spark).select("ts", "p_tp").orderBy("ts").collect() == want and want
+
+
+def test_half_written_versions_are_not_read(spark, tmp_path):
+    store = models.ModelStore(str(tmp_path / "m"))
+    store.publish(spark.createDataFrame([("one",)], "model_path string"), 9)
+    store.publish(spark.createDataFrame([("two",)], "model_path string"), 10)
+    (tmp_path / "m" / "model_000000000011").mkdir()
+    assert [r.version for r in store.versions(spark).orderBy("version").collect()] == [9, 10]
+    assert store.has(spark, 10) and not store.has(spark, 11)
+
+
 def test_columns_are_normalized(spark):
     raw = spark.createDataFrame([(1.0, 2.0, 0.5, 1.5, 10, "x"), (None, 2.0, 0.5, 1.5, 10, "x")], "Open double, HIGH double, low double, Close double, Volume bigint, other string")
     assert scans.normalize_columns(raw).columns == OHLCV and scans.normalize_columns(raw).count() == 1
