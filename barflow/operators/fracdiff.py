@@ -19,9 +19,13 @@ def frac_weights(d: float, count: int) -> list[float]:
 
 def cut_weights(d: float, threshold: float, limit: int) -> list[float]:
     """Weights up to the first lag whose magnitude falls below ``threshold``, ``limit`` at most."""
-    weights = frac_weights(d, limit)
-    small = (k for k in range(1, len(weights)) if abs(weights[k]) < threshold)
-    return weights[: next(small, len(weights))]
+    weights = [1.0][: max(limit, 0)]
+    for lag in range(1, limit):
+        w = weights[-1] * (lag - 1 - d) / lag
+        if abs(w) < threshold:
+            break
+        weights.append(w)
+    return weights
 
 
 def cut_weights_of(d: Column, threshold: float, limit: int) -> Column:

@@ -24,6 +24,25 @@ FEATURE_OUT = (
 FEATURE_STATE = "n bigint, close double, atr double, gain double, loss double"
 
 
+def decayed(x: np.ndarray, alpha: float, carry: float | None) -> np.ndarray:
+    """``s[i] = s[i-1] + alpha * (x[i] - s[i-1])`` from ``carry``, or from the first value itself.
+
+    A running sum of rescaled terms, in blocks short enough for the powers of the decay to stay in double precision.
+    """
+    if len(x) == 0 or alpha >= 1.0:
+        return x.copy()
+    out = np.empty(len(x))
+    s = x[0] if carry is None else carry
+    block = max(1, int(-230.0 / math.log1p(-alpha)))
+    powers = (1.0 - alpha) ** np.arange(1, min(block, len(x)) + 1)
+    for start in range(0, len(x), block):
+        part = x[start : start + block]
+        scale = powers[: len(part)]
+        out[start : start + block] = scale * (s + np.cumsum(alpha * part / scale))
+        s = out[start + len(part) - 1]
+    return out
+
+
 def stream_features(bars: DataFrame, period: int = LIVE.period) -> DataFrame:
     """Features of each new bar from five numbers of state per symbol.
 
@@ -34,25 +53,31 @@ def stream_features(bars: DataFrame, period: int = LIVE.period) -> DataFrame:
 
     def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         bars = pd.concat(list(batches)).sort_values("ts")
-        n, before, atr, gain, loss = state.get if state.exists else (0, None, 0.0, 0.0, 0.0)
-        rows = []
-        for high, low, close in zip(bars["high"], bars["low"], bars["close"]):
-            if n == 0:
-                atr, ret = high - low, None
-            else:
-                span = max(high - low, abs(high - before), abs(low - before))
-                up, down = max(close - before, 0.0), max(before - close, 0.0)
-                atr += alpha * (span - atr)
-                gain, loss = (up, down) if n == 1 else (gain + alpha * (up - gain), loss + alpha * (down - loss))
-                ret = math.log(close / before)
-            rsi = None
-            if n >= period and (loss > 0 or gain > 0):
-                rsi = 1.0 if loss == 0 else 1.0 - 1.0 / (1.0 + gain / loss)
-            ready = n + 1 >= period
-            rows.append((ret, atr if ready else None, atr / close if ready else None, rsi))
-            n, before = n + 1, close
-        state.update((n, before, atr, gain, loss))
-        extra = pd.DataFrame(rows, columns=["log_return", "atr", "volatility_ratio", "norm_rsi"], dtype="float64")
+        n, before, atr, gain, loss = state.get if state.exists else (0, np.nan, None, None, None)
+        high, low, close = (bars[c].to_numpy("float64") for c in ("high", "low", "close"))
+        seen = n + np.arange(len(bars))
+        last = np.concatenate([[before], close[:-1]])
+        moves = (close - last)[seen > 0]
+        known = n > 1  # the second bar brings the first move
+
+        def averaged(x: np.ndarray, carry: float | None) -> np.ndarray:
+            return np.concatenate([np.zeros(len(bars) - len(x)), decayed(x, alpha, carry)])
+
+        with np.errstate(all="ignore"):
+            atrs = averaged(np.fmax(high - low, np.fmax(np.abs(high - last), np.abs(low - last))), atr if n else None)
+            gains = averaged(np.maximum(moves, 0.0), gain if known else None)
+            losses = averaged(np.maximum(-moves, 0.0), loss if known else None)
+            rsi = np.where(losses == 0, 1.0, 1.0 - 1.0 / (1.0 + gains / losses))
+            ready = seen + 1 >= period
+            extra = pd.DataFrame(
+                {
+                    "log_return": np.log(close / last),
+                    "atr": np.where(ready, atrs, np.nan),
+                    "volatility_ratio": np.where(ready, atrs / close, np.nan),
+                    "norm_rsi": np.where((seen >= period) & ((losses > 0) | (gains > 0)), rsi, np.nan),
+                }
+            )
+        state.update((int(n + len(bars)), float(close[-1]), float(atrs[-1]), float(gains[-1]), float(losses[-1])))
         names = ["symbol", "ts", "open", "high", "low", "close", "volume"]
         yield pd.concat([bars[names].reset_index(drop=True), extra], axis=1)
 
@@ -139,17 +164,27 @@ def stream_positions(
 
 
 # --------------------------------------------------------------------------- drift
-def window_psi(reference: np.ndarray, current: np.ndarray, bins: int) -> float:
-    """PSI of two full windows on the quantile bins of the first."""
-    inner = np.unique(np.quantile(reference, np.arange(1, bins) / bins))
-    count = len(inner) + 1
-
-    def shares(x: np.ndarray) -> np.ndarray:
-        filled = np.bincount(np.searchsorted(inner, x, side="right"), minlength=count) + EPS
-        return filled / filled.sum()
-
-    p, q = shares(reference), shares(current)
-    return float(((p - q) * np.log(p / q)).sum())
+def windows_psi(series: np.ndarray, ref_window: int, test_window: int, bins: int, block: int = 4096) -> np.ndarray:
+    """PSI of each full pair of windows, on the quantile bins of the first; ``block`` windows at a time."""
+    size = ref_window + test_window
+    if len(series) < size:
+        return np.empty(0)
+    framed, out = np.lib.stride_tricks.sliding_window_view(series, size), []
+    for start in range(0, len(framed), block):
+        frames = framed[start : start + block]
+        edges = np.quantile(frames[:, :ref_window], np.arange(1, bins) / bins, axis=1)
+        # equal edges are one: the empty bin between them does not count
+        inner = edges[1:] != edges[:-1]
+        counted = np.concatenate([np.ones((1, len(frames)), bool), inner, np.ones((1, len(frames)), bool)])
+
+        def shares(x: np.ndarray) -> np.ndarray:
+            below = np.stack([np.zeros(len(x)), *((x < e[:, None]).sum(axis=1) for e in edges), np.full(len(x), x.shape[1])])
+            filled = np.where(counted, np.diff(below, axis=0) + EPS, 0.0)
+            return np.where(counted, filled / filled.sum(axis=0), 1.0)
+
+        p, q = shares(frames[:, :ref_window]), shares(frames[:, ref_window:])
+        out.append(((p - q) * np.log(p / q)).sum(axis=0))
+    return np.concatenate(out)
 
 
 def stream_drift(
@@ -170,12 +205,9 @@ def stream_drift(
         new = pd.concat(list(batches)).dropna(subset=["value"]).sort_values("ts")
         kept = list(state.get[0]) if state.exists else []
         series = np.asarray([*kept, *new["value"]], dtype="float64")
-        scores = []
-        for end in range(len(kept) + 1, len(series) + 1):
-            window = series[max(0, end - size) : end]
-            scores.append(window_psi(window[:ref_window], window[ref_window:], bins) if len(window) == size else None)
+        scores = windows_psi(series[max(0, len(kept) + 1 - size) :], ref_window, test_window, bins)
         state.update((series[-size:].tolist(),))
-        psi = pd.Series(scores, dtype="float64")
+        psi = pd.Series(np.concatenate([np.full(len(new) - len(scores), np.nan), scores]))
         yield pd.DataFrame(
             {"symbol": key[0], "ts": new["ts"].to_numpy(), "psi": psi, "drift": (psi > threshold).fillna(False).astype(bool)}
         )

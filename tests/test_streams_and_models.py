@@ -64,6 +64,38 @@ def test_stream_drift_equals_batch(spark, walk, tmp_path):
     assert stream["drift"].tolist() == batch["drift"].tolist()
 
 
+@pytest.mark.parametrize("period", [1, 2, 14])
+@pytest.mark.parametrize("carry", [None, 3.0])
+def test_decayed_sums_follow_the_recursion(period, carry):
+    x = np.abs(np.random.default_rng(period).normal(size=5000))
+    x[:7] = 0.0
+    s, want = x[0] if carry is None else carry, []
+    for v in x:
+        s += (v - s) / period
+        want.append(s)
+    got = state.decayed(x, 1.0 / period, carry)
+    np.testing.assert_allclose(got, want, rtol=1e-10)
+    assert (got[:7] == 0).all() or carry
+    assert len(state.decayed(x[:0], 0.5, None)) == 0
+
+
+@pytest.mark.parametrize("digits", [0, 1, 8])
+def test_window_scores_follow_the_definition(digits):
+    """With few digits many edges are equal, down to a single bin."""
+    series = np.round(np.random.default_rng(digits).normal(size=260), digits)
+    series[:40] = 1.0
+    want = []
+    for end in range(45, len(series) + 1):
+        old, new = series[end - 45 : end - 15], series[end - 15 : end]
+        inner = np.unique(np.quantile(old, np.arange(1, 10) / 10))
+        p, q = (np.bincount(np.searchsorted(inner, x, side="right"), minlength=len(inner) + 1) + state.EPS for x in (old, new))
+        p, q = p / p.sum(), q / q.sum()
+        want.append(((p - q) * np.log(p / q)).sum())
+    for block in (1, 50, 4096):
+        np.testing.assert_allclose(state.windows_psi(series, 30, 15, 10, block), want, rtol=1e-9, atol=1e-12)
+    assert len(state.windows_psi(series[:44], 30, 15, 10)) == 0
+
+
 def test_stream_positions_follow_the_rules(spark, tmp_path):
     rows = []
     prices = [(100, 101, 99), (100, 104, 99), (100, 112, 88), (100, 101, 99), (100, 120, 99), (100, 101, 99)]
