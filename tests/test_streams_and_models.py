@@ -13,7 +13,7 @@ from barflow.operators import drift, features, portfolio
 from barflow.operators.series import apply_local
 from barflow.schemas import FEATURES, OHLCV, TRADE_COLUMNS
 from barflow.sources import bars as scans
-from barflow.sources import sinks, snapshots
+from barflow.sources import sinks, snapshots, tables
 from barflow.streaming import batches, models, run, state
 from barflow.streaming.bars import closed_bars
 
@@ -318,3 +318,41 @@ def test_rows_are_numbered_along_their_order(spark):
     df = spark.range(500).select(F.concat(F.lit("s"), F.col("id") % 3).alias("symbol"), (F.col("id") * 7919 % 1009).alias("ts"))
     out = numbered(df, ["symbol", "ts"], layout=Layout(chunk_rows=37, fanout=3)).orderBy("symbol", "ts").collect()
     assert [r["_id"] for r in out] == list(range(500))
+
+
+def test_table_of_many_files_as_stream(spark, tmp_path):
+    rows = spark.createDataFrame([(i, [0.5 + i] * 64) for i in range(20)], "vec_id bigint, embedding array<float>")
+    rows.repartition(5).write.parquet(str(tmp_path / "embeddings.parquet"))
+    rows.where("vec_id < 3").write.parquet(str(tmp_path / "other.parquet"))
+    assert run.drain(run.read_stream(spark, rows, str(tmp_path), "embeddings.parquet"), "many").count() == 20
+    one = next((tmp_path / "other.parquet").glob("part-*"))
+    assert 0 < run.drain(run.read_stream(spark, rows, str(one.parent), one.name), "one").count() <= 3
+
+
+def test_rolling_edges_on_values(spark):
+    """Values in hundredths often fall on an edge: batch and stream agree on the last bit of it, and with their SQL."""
+    import duckdb
+
+    from barflow.plans.sqlparts import ROLLING_EDGES
+
+    rng = np.random.default_rng(5)
+    values = np.round(rng.integers(0, 60, 3000) / 20 + 7.1, 2)
+    frame = pd.DataFrame({"symbol": "s", "bar_idx": np.arange(3000), "close": values})
+    batch = drift.detect_drift(spark.createDataFrame(frame), "close", include_current=True).orderBy("bar_idx").toPandas()["psi"].to_numpy()
+    stream = state.windows_psi(values, 100, 50, 10)
+    np.testing.assert_allclose(stream, batch[149:].astype(float), rtol=0, atol=1e-9)
+    con = duckdb.connect()
+    con.register("f", frame)
+    sql = con.execute(f"SELECT a.bar_idx, {ROLLING_EDGES} FROM f a JOIN f ref ON ref.bar_idx BETWEEN a.bar_idx - 99 AND a.bar_idx WHERE a.bar_idx >= 99 GROUP BY 1 ORDER BY 1".replace("list(close)", "list(ref.close)")).fetchall()
+    ordered = np.sort(np.lib.stride_tricks.sliding_window_view(values, 100), axis=1)
+    for (_, edges), s in zip(sql, ordered):
+        at = [k / 10 * 99 for k in range(1, 10)]
+        assert edges == sorted({float(s[int(x)] + (s[int(x) + 1] - s[int(x)]) * (x - int(x))) for x in at})
+
+
+def test_hourly_bars_of_events_at_one_time(spark, tmp_path):
+    rows = [(i, DAY, "view", float(v), '{"k": 1}') for i, v in enumerate([5, 9, 2, 7])]
+    for k, part in enumerate((rows[2:], rows[:2])):
+        spark.createDataFrame(part, "event_id bigint, ts timestamp, event_type string, value double, props string").coalesce(1).write.mode("append").parquet(str(tmp_path / "events.parquet"))
+    bar = tables.hourly_bars(spark, str(tmp_path)).first()
+    assert (bar.open, bar.close) == (5.0, 7.0)
