@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from barflow.operators import barriers, containment, drift, features, fracdiff, regime
 from barflow.operators.series import apply_local
 from barflow.plans.registry import query, r, us
-from barflow.plans.sqlparts import ATR, BARS, FEATURES, HOURLY, live_labels, outcomes, with_
+from barflow.plans.sqlparts import ATR, BARS, FEATURES, HOURLY, ROLLING_EDGES, live_labels, outcomes, with_
 from barflow.session import cut_lineage
 from barflow.sources import tables
 
@@ -254,10 +254,10 @@ def psi_two_sample(spark, sf_dir):
 
 @query(
     "w13_rolling_drift",
-    with_(HOURLY, """
+    with_(HOURLY, f"""
         ref AS (SELECT a.symbol, a.bar_idx, b.close FROM hb a JOIN hb b ON b.symbol = a.symbol AND b.bar_idx BETWEEN a.bar_idx - 150 AND a.bar_idx - 51 WHERE a.bar_idx >= 150),
         tst AS (SELECT a.symbol, a.bar_idx, b.close FROM hb a JOIN hb b ON b.symbol = a.symbol AND b.bar_idx BETWEEN a.bar_idx - 50 AND a.bar_idx - 1 WHERE a.bar_idx >= 150),
-        qs AS (SELECT symbol, bar_idx, list_sort(list_distinct(quantile_cont(close, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]))) AS inner_edges FROM ref GROUP BY 1, 2),
+        qs AS (SELECT symbol, bar_idx, {ROLLING_EDGES} FROM ref GROUP BY 1, 2),
         pb AS (SELECT symbol, bar_idx, len(list_filter(inner_edges, lambda e: e <= close)) AS bin, count(*) AS n FROM ref JOIN qs USING (symbol, bar_idx) GROUP BY 1, 2, 3),
         qb AS (SELECT symbol, bar_idx, len(list_filter(inner_edges, lambda e: e <= close)) AS bin, count(*) AS n FROM tst JOIN qs USING (symbol, bar_idx) GROUP BY 1, 2, 3),
         cells AS (SELECT qs.symbol, qs.bar_idx, len(inner_edges) + 1 AS nb, unnest(range(0, len(inner_edges) + 1)) AS bin FROM qs),

@@ -103,3 +103,8 @@ outc AS (
 
 def with_(*parts: str, select: str) -> str:
     return "WITH RECURSIVE " + ",".join(p.strip().rstrip(",") for p in parts) + "\n" + select
+
+#: Inner edges of ten bins of a hundred ``close``: between two neighbours, left + (right - left) * part, as the queries have it. An edge
+#: may fall on a value of the other sample, so the last bit of it decides; ``quantile_cont`` leaves that bit to the engine.
+ROLLING_EDGES = """list_sort(list_distinct(list_transform(range(1, 10), lambda k: list_sort(list(close))[CAST(floor(k / 10e0 * 99) AS INTEGER) + 1]
+      + (list_sort(list(close))[CAST(floor(k / 10e0 * 99) AS INTEGER) + 2] - list_sort(list(close))[CAST(floor(k / 10e0 * 99) AS INTEGER) + 1]) * (k / 10e0 * 99 - floor(k / 10e0 * 99))))) AS inner_edges"""
