@@ -170,9 +170,14 @@ def windows_psi(series: np.ndarray, ref_window: int, test_window: int, bins: int
     if len(series) < size:
         return np.empty(0)
     framed, out = np.lib.stride_tricks.sliding_window_view(series, size), []
+    at = np.arange(1, bins) / bins * (ref_window - 1)
+    low = at.astype(int)
+    high = np.minimum(low + 1, ref_window - 1)
     for start in range(0, len(framed), block):
         frames = framed[start : start + block]
-        edges = np.quantile(frames[:, :ref_window], np.arange(1, bins) / bins, axis=1)
+        # to the last bit as ``operators.drift`` has them: an edge may fall on a value
+        ordered = np.sort(frames[:, :ref_window], axis=1)
+        edges = (ordered[:, low] + (ordered[:, high] - ordered[:, low]) * (at - low)).T
         # equal edges are one: the empty bin between them does not count
         inner = edges[1:] != edges[:-1]
         counted = np.concatenate([np.ones((1, len(frames)), bool), inner, np.ones((1, len(frames)), bool)])
