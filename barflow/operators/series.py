@@ -134,6 +134,12 @@ def running(
     ).drop(*[f"{p}_{m.name}" for m in measures for p in "lc"])
 
 
+def running_whole(df: DataFrame, keys: Sequence[str], order: Sequence[str], measures: Sequence[Measure], exclusive: bool = False) -> DataFrame:
+    """``running`` for keys that are known to be small enough for one task each."""
+    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1 if exclusive else 0)
+    return df.withColumns({m.name: _over(m, m.value, w) for m in measures})
+
+
 def depth_chunks(df: DataFrame, keys: Sequence[str], order: Sequence[str], rows: int | None = None, layout: Layout = LAYOUT) -> DataFrame:
     """``df`` with ``_chunk``, a number that does not fall along (keys, order) and names at most ``rows`` rows, whatever their times.
 

@@ -364,3 +364,14 @@ def test_state_document(spark, tmp_path):
     account, position = accounts.first(), positions.first()
     assert account.cash_usd == 5000.0 and account.open_positions == 1
     assert position.remaining_size == 2.0 and position.bars_held == 0 and "surprise" not in positions.columns
+
+
+def test_partial_closes_shuffle_rows_once(spark):
+    """Keys that fit a task go there once; nothing else of their rows is written."""
+    from barflow.operators import closes
+
+    lots = spark.createDataFrame([("p", f"s{i % 7}", f"l{i:03}", DAY + timedelta(days=i), 10.0, "BUY", 2.0) for i in range(50)], "portfolio string, symbol string, position_id string, entry_time timestamp, entry_price double, side string, size double")
+    fills = spark.createDataFrame([("p", f"s{i % 7}", f"f{i:03}", DAY + timedelta(days=i + 9), 11.0, "EXIT", 1.5) for i in range(50)], "portfolio string, symbol string, fill_id string, ts timestamp, price double, reason string, size double")
+    out = closes.partial_closes(lots, fills)
+    assert out.count() > 50
+    assert out._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
