@@ -113,7 +113,7 @@ def cash_flows(positions: DataFrame, closes: DataFrame | None = None) -> DataFra
         "position_id",
         (F.col("exit_price") * F.col("size")).alias("flow"),
         (-F.col("entry_price") * F.col("size")).alias("exposure_change"),
-        *([] if closes is None else ["fill_id"]),
+        *([] if closes is None else ["fill_id", "remaining_size"]),
     )
     return opened.unionByName(closed, allowMissingColumns=True)
 

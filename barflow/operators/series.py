@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from barflow.config import LAYOUT, Layout
-from barflow.session import cut_lineage
+from barflow.session import kept
 
 DAY_US = 86_400_000_000
 HOUR_US = 3_600_000_000
@@ -152,7 +152,7 @@ def depth_chunks(df: DataFrame, keys: Sequence[str], order: Sequence[str], rows:
     number = F.monotonically_increasing_id()
     place = number.bitwiseAND(F.lit((1 << 33) - 1))
     chunk = F.shiftleft(F.shiftright(number, 33), 20) + F.floor(place / rows).cast("bigint")
-    return cut_lineage(ranged.withColumn("_chunk", chunk))
+    return kept(ranged.withColumn("_chunk", chunk), "chunks")
 
 
 # --------------------------------------------------------------------------- dense position

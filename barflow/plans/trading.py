@@ -391,10 +391,7 @@ def partial_closes(spark, sf_dir):
 def partial_ledger(spark, sf_dir):
     """Cash and exposure after every opening and partial close, and what is left of the lot. All amounts are exact."""
     lots, fills = tables.lots_and_fills(spark, sf_dir)
-    done = cut_lineage(closes.partial_closes(lots, fills))
-    ledger = portfolio.cash_ledger(lots, closes=done)
-    left = done.select("portfolio", "position_id", "fill_id", F.col("remaining_size").alias("remaining"))
-    out = ledger.join(left, ["portfolio", "position_id", "fill_id"], "left")
+    out = portfolio.cash_ledger(lots, closes=closes.partial_closes(lots, fills)).withColumnRenamed("remaining_size", "remaining")
     return out.select("portfolio", "position_id", "fill_id", us(), "cash_usd", (F.col("exposure") + F.lit(0.0)).alias("exposure"), "remaining")
 
 

@@ -375,3 +375,16 @@ def test_partial_closes_shuffle_rows_once(spark):
     out = closes.partial_closes(lots, fills)
     assert out.count() > 50
     assert out._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+
+
+def test_partial_ledger_writes_flows_once(spark, tmp_path):
+    """Flows are dealt, compressed and summed; what is left of a lot comes with them, not by a join of identifiers."""
+    from barflow.operators import closes, portfolio
+
+    lots = spark.createDataFrame([("p", f"s{i % 7}", f"l{i:03}", DAY + timedelta(days=i), 10.0, "BUY", 2.0) for i in range(50)], "portfolio string, symbol string, position_id string, entry_time timestamp, entry_price double, side string, size double")
+    fills = spark.createDataFrame([("p", f"s{i % 7}", f"f{i:03}", DAY + timedelta(days=i + 9), 11.0, "EXIT", 1.5) for i in range(50)], "portfolio string, symbol string, fill_id string, ts timestamp, price double, reason string, size double")
+    done = closes.partial_closes(lots, fills)
+    ledger = portfolio.cash_ledger(lots, closes=done)
+    left = {(r.position_id, r.fill_id): r.remaining_size for r in done.collect()}
+    assert {(r.position_id, r.fill_id): r.remaining_size for r in ledger.where("fill_id <> ''").collect()} == left
+    assert "Scan parquet" in ledger._jdf.queryExecution().executedPlan().toString()
