@@ -13,8 +13,10 @@ from pyspark.sql import functions as F
 
 from barflow.llm.groups import keep_one
 
-#: Bytes of edge labels that a trie holds before it gives its largest subtree away.
+#: Bytes that the tries of a task hold before they give their largest subtrees away.
 TRIE_BYTES = 64_000_000
+#: Bytes that a trie takes besides its edge labels.
+EMPTY_TRIE = 800
 
 
 class Trie:
@@ -114,7 +116,10 @@ def _in_batches(rows: Iterator[tuple], most: int = 4_000_000) -> Iterator[pa.Rec
 
 
 def _gather(largest: bool, limit: int):
-    """One row for each text that a task sees (more after a spill): hot texts shrink before they are shuffled."""
+    """One row for each text that a task sees (more after a spill): hot texts shrink before they are shuffled.
+
+    A spill takes half of what is held, the largest tries first, so that they are sought once for many texts.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows():
@@ -125,16 +130,22 @@ def _gather(largest: bool, limit: int):
                     trie = tries.get((n, h))
                     if trie is None:
                         trie = tries[(n, h)] = Trie(largest)
+                        size += EMPTY_TRIE
                     before = trie.bytes
                     trie.insert(text, owner, members)
                     size += trie.bytes - before
                     while size > limit:
-                        key = max(tries, key=lambda k: tries[k].bytes)
-                        before = tries[key].bytes
-                        yield from ((*key, *x) for x in tries[key].spill())
-                        size -= before - tries[key].bytes
-                        if not tries[key].root[1] and tries[key].root[2] is None:
-                            del tries[key]
+                        for key in sorted(tries, key=lambda k: -tries[k].bytes):
+                            if size <= limit // 2:
+                                break
+                            below = tries[key]
+                            before = below.bytes
+                            yield from ((*key, *x) for x in below.spill())
+                            size -= before - below.bytes
+                            if not below.root[1]:
+                                yield from ((*key, *x) for x in below.drain())  # the empty text
+                                del tries[key]
+                                size -= EMPTY_TRIE
             for key, trie in tries.items():
                 yield from ((*key, *x) for x in trie.drain())
 

@@ -71,6 +71,32 @@ def test_exact_dedup(spark, keep, trie_bytes):
     assert exact_dedup.exact_dedup(frame(spark, [])).count() == 0
 
 
+def test_exact_dedup_spills_many_texts_at_once(monkeypatch):
+    """What a task holds is looked through once for many texts that it gives away, not once for each."""
+    looked = []
+
+    class Counted(exact_dedup.Trie):
+        @property
+        def bytes(self):
+            looked.append(1)
+            return self.held
+
+        @bytes.setter
+        def bytes(self, value):
+            self.held = value
+
+    monkeypatch.setattr(exact_dedup, "Trie", Counted)
+    texts = [b"", *(b"%0100d" % (i % 3900) for i in range(4000))]
+    rows = [(len(t), hash(t) >> 1, t, i, 1) for i, t in enumerate(texts)]
+    given = [r for batch in exact_dedup._gather(True, 200_000)([exact_dedup._batch(rows)]) for r in batch.to_pylist()]
+    assert len(looked) < 40 * len(texts)
+    found = {}
+    for r in given:
+        owner, members = found.get(r["text"], (-1, 0))
+        found[r["text"]] = max(owner, r["owner"]), members + r["members"]
+    assert found == {t: (max(i for i in (k, k + 3900) if i < len(texts) and texts[i] == t), texts.count(t)) for k, t in enumerate(texts[:3901])}
+
+
 def test_components(spark):
     links = [(1, 2), (2, 3), (9, 8), (8, 7), (5, 5), (None, 1), (7, 10), *((100 + i, 101 + i) for i in range(40))]
     got = {r.node: r.component for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
